@@ -49,3 +49,9 @@ def real_day(c: Column | str) -> Column:
 def cents(c: Column | str) -> Column:
     """An amount as an exact decimal with two places; null and what is no number count as 0."""
     return F.coalesce((F.col(c) if isinstance(c, str) else c).try_cast("decimal(18,2)"), F.lit(0).cast("decimal(18,2)"))
+
+
+def number(c: Column | str) -> Column:
+    """A tolerant number: all but digits, points and minus signs is dropped; what doesn't parse is 0."""
+    t = F.col(c) if isinstance(c, str) else c
+    return F.coalesce(F.regexp_replace(t, r"[^0-9.\-]", "").try_cast("double"), F.lit(0.0))

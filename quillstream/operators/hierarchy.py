@@ -39,14 +39,10 @@ def linked(nodes: DataFrame) -> DataFrame:
     a parent that many name; the names' side is unique, so that adaptive
     execution can split it.
     """
-    key = F.concat_ws("\u0001", "tree", F.coalesce("scope", F.lit("")), "id")
-    known = nodes.filter("name is not null").groupBy("tree", "scope", F.col("name").alias("parent")).agg(F.min("id").alias("parent_id"), F.min(key).alias("up"))
-    same = (nodes["tree"] == known["tree"]) & nodes["scope"].eqNullSafe(known["scope"]) & (nodes["parent"] == known["parent"])
-    return nodes.join(known, same, "left").select(*(nodes[c] for c in ("tree", "scope", "id", "name")), known["parent_id"], known["up"], key_of(nodes).alias("node"))
-
-
-def key_of(nodes: DataFrame):
-    return F.concat_ws("\u0001", nodes["tree"], F.coalesce(nodes["scope"], F.lit("")), nodes["id"])
+    keyed = nodes.withColumn("node", F.concat_ws("\u0001", "tree", F.coalesce("scope", F.lit("")), "id"))
+    known = keyed.filter("name is not null").groupBy(F.col("tree").alias("t"), F.col("scope").alias("s"), F.col("name").alias("n")).agg(F.min("id").alias("parent_id"), F.min("node").alias("up"))
+    same = (F.col("tree") == F.col("t")) & F.col("scope").eqNullSafe(F.col("s")) & (F.col("parent") == F.col("n"))
+    return keyed.join(known, same, "left").select("tree", "scope", "id", "name", "parent_id", "up", "node")
 
 
 def _doubled(s: DataFrame, extra: list, final: DataFrame | None = None) -> DataFrame:
