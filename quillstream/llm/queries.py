@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstream.llm import mixture, tokenizer
+from quillstream.llm import mixture, residue, tokenizer
 from quillstream.session import stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,8 +39,28 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture.shares(stored(mixture.mix(sizes, targets), "mix"), sizes, targets)
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue(table(spark, d, "documents"), "doc_id", "text").select("doc_id").distinct()
+
+
+def p9_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Each case with what it shows: slot, filler, error or scripts."""
+    return residue.residue(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p9_templates(spark: SparkSession, d: str) -> DataFrame:
+    """The mined message templates with their verdicts and how often they occur."""
+    return residue.template_report(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p9_kept(spark: SparkSession, d: str) -> DataFrame:
+    """The ids of the documents that stay when the cases are excluded."""
+    documents = table(spark, d, "documents").select("doc_id")
+    return documents.join(p9_found(spark, d), "doc_id", "left_anti")
+
+
 def queries() -> dict[str, Query]:
-    made = [p7_ids, p7_counts, p7_decoded, p8_mix, p8_shares]
+    made = [p7_ids, p7_counts, p7_decoded, p8_mix, p8_shares, p9_found, p9_kinds, p9_templates, p9_kept]
     return {f.__name__: f for f in made}
 
 
