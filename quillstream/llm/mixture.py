@@ -12,30 +12,18 @@ of all rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstream.functions.text import plain_or_null
 from quillstream.llm import tokenizer
+from quillstream.operators.numbering import running_sum
 from quillstream.session import lookup_join, stored
 
 #: Rows that share a bucket of a running sum, about.
 BUCKET_ROWS = 20_000
 
 
-def running_sum(df: DataFrame, by: list[str], bucket: str, order: list[Column], value: str, out: str) -> DataFrame:
-    """Adds ``out``, the sum of ``value`` over the rows of ``by`` up to this one.
-
-    ``bucket`` must rise with ``order``, which must be total.
-    """
-    totals = df.groupBy(*by, bucket).agg(F.sum(value).alias("_sum"))
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))  # a row a bucket
-    before = totals.select(*by, bucket, (F.sum("_sum").over(w.orderBy(bucket)) - F.col("_sum")).alias("_before"))
-    inner = Window.partitionBy(*by, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    summed = df.withColumn(out, F.sum(value).over(inner))
-    return lookup_join(summed, before, [*by, bucket]).withColumn(out, F.col(out) + F.col("_before")).drop("_before")
-
-
 def sized(documents: DataFrame, targets: DataFrame, doc_id: str, text: str, source: str, path: str) -> DataFrame:
     """doc_id, source (plain) and n_tokens of the documents of a target source, stored."""
     docs = documents.select(F.col(doc_id).alias("doc_id"), plain_or_null(source).alias("source"), F.col(text).alias("text")).filter("source is not null")
