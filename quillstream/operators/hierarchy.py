@@ -27,7 +27,7 @@ LARGEST = 200_000
 CYCLE = "cycle"
 SEPARATOR = " / "
 
-_OUT = "tree string, scope string, id string, name string, parent_id string, component string, root_id string, depth long, path string, closes_loop boolean"
+_OUT = "tree string, scope string, id string, name string, parent_id string, component string, root_id string, depth long, path string, closes_loop boolean, ancestors array<string>"
 
 
 def linked(nodes: DataFrame) -> DataFrame:
@@ -71,7 +71,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _walk(batch: pd.DataFrame) -> pd.DataFrame:
-    """Depth-first search over the whole components in ``batch``."""
+    """Depth-first search over the whole components in ``batch``.
+
+    The search holds the path from the root; a node's ancestors are written as
+    it is entered, so that its descendants are the rows that name it.
+    """
     nodes, ups = batch["node"].tolist(), batch["up"].tolist()
     names, ids = batch["name"].tolist(), batch["id"].tolist()
     at = {n: i for i, n in enumerate(nodes)}
@@ -84,14 +88,20 @@ def _walk(batch: pd.DataFrame) -> pd.DataFrame:
     colour, depth, root = [white] * len(nodes), [-1] * len(nodes), [CYCLE] * len(nodes)
     path: list[str | None] = [None] * len(nodes)
     closes = [False] * len(nodes)
+    ancestors: list[list[str] | None] = [None] * len(nodes)
 
     def search(start: int, tree: bool) -> None:
-        stack = [(start, 0)]
+        stack, above = [(start, 0)], []
         colour[start] = grey
         while stack:
             i, k = stack.pop()
+            if k == 0:
+                if tree:
+                    ancestors[i] = above.copy()
+                above.append(ids[i])
             if k == len(below[i]):
                 colour[i] = black
+                above.pop()
                 continue
             stack.append((i, k + 1))
             child = below[i][k]
@@ -118,6 +128,7 @@ def _walk(batch: pd.DataFrame) -> pd.DataFrame:
             search(j, False)
     out = batch[["tree", "scope", "id", "name", "parent_id", "component"]].copy()
     out["root_id"], out["depth"], out["path"], out["closes_loop"] = root, depth, path, closes
+    out["ancestors"] = ancestors
     return out
 
 
@@ -144,27 +155,28 @@ def _distributed(edges: DataFrame, label: DataFrame) -> DataFrame:
     """The rows of components too large to walk, by doubling pointers with distance and trail."""
     trees = label.filter("not looped").select("node", "component")
     own = edges.join(trees, "node")
-    state = cut(own.select("node", F.coalesce("up", "node").alias("at"), F.col("up").isNull().alias("rests"), F.col("node").alias("low"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.when(F.col("up").isNull(), F.array().cast("array<string>")).otherwise(F.array(F.coalesce("name", F.lit("")))).alias("trail")))
+    state = cut(own.select("node", F.coalesce("up", "node").alias("at"), F.col("up").isNull().alias("rests"), F.col("node").alias("low"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.when(F.col("up").isNull(), F.array().cast("array<string>")).otherwise(F.array(F.coalesce("name", F.lit("")))).alias("trail"), F.when(F.col("up").isNull(), F.array().cast("array<string>")).otherwise(F.array("parent_id")).alias("above")))
     while state.filter("not rests").count():
-        state = _doubled(state, [(F.col("s.depth") + F.col("t.depth")).alias("depth"), F.concat("t.trail", "s.trail").alias("trail")])
+        state = _doubled(state, [(F.col("s.depth") + F.col("t.depth")).alias("depth"), F.concat("t.trail", "s.trail").alias("trail"), F.concat("t.above", "s.above").alias("above")])
     tops = edges.filter("up is null").select(F.col("node").alias("at"), F.col("id").alias("root_id"), F.coalesce("name", F.lit("")).alias("top"))
-    done = edges.join(state.select("node", "at", "depth", "trail"), "node").join(tops, "at")
-    trees_out = done.select("tree", "scope", "id", "name", "parent_id", F.col("at").alias("component"), "root_id", "depth", F.concat_ws(SEPARATOR, F.array("top"), "trail").alias("path"), F.lit(False).alias("closes_loop"))
+    done = edges.join(state.select("node", "at", "depth", "trail", "above"), "node").join(tops, "at")
+    trees_out = done.select("tree", "scope", "id", "name", "parent_id", F.col("at").alias("component"), "root_id", "depth", F.concat_ws(SEPARATOR, F.array("top"), "trail").alias("path"), F.lit(False).alias("closes_loop"), F.col("above").alias("ancestors"))
     loops = label.filter("looped")
     # the loop's smallest node stands for the edge that closes it
-    loops_out = edges.join(loops, "node").select("tree", "scope", "id", "name", "parent_id", "component", F.lit(CYCLE).alias("root_id"), F.lit(-1).cast("long").alias("depth"), F.lit(None).cast("string").alias("path"), (F.col("node") == F.col("component")).alias("closes_loop"))
+    loops_out = edges.join(loops, "node").select("tree", "scope", "id", "name", "parent_id", "component", F.lit(CYCLE).alias("root_id"), F.lit(-1).cast("long").alias("depth"), F.lit(None).cast("string").alias("path"), (F.col("node") == F.col("component")).alias("closes_loop"), F.lit(None).cast("array<string>").alias("ancestors"))
     return trees_out.unionByName(loops_out)
 
 
 def hierarchy(nodes: DataFrame, largest: int = LARGEST) -> DataFrame:
-    """One row a node: tree, scope, id, name, parent_id, component, root_id, depth, path, closes_loop.
+    """One row a node: tree, scope, id, name, parent_id, component, root_id, depth, path, closes_loop, ancestors.
 
     ``nodes``: tree, scope, id, name and parent, unique by tree, scope and id;
     names and parents plain, null for blank. Rows with a null id are left out.
     A node that is its own parent, lies on a loop or leads up into one has
-    root_id ``cycle``, depth -1 and a null path; ``closes_loop`` marks one node
-    of each loop, whose edge to its parent closes it. An empty table gives an
-    empty one; other columns are ignored.
+    root_id ``cycle``, depth -1, a null path and null ancestors; ``closes_loop``
+    marks one node of each loop, whose edge to its parent closes it.
+    ``ancestors`` holds ids from the root down to the parent. An empty table
+    gives an empty one; other columns are ignored.
     """
     edges = cut(linked(nodes.select("tree", "scope", "id", "name", "parent").filter("id is not null")))
     label = cut(components(edges))
@@ -180,25 +192,10 @@ def hierarchy(nodes: DataFrame, largest: int = LARGEST) -> DataFrame:
     return walked.unionByName(_distributed(edges.join(large.select("node"), "node", "left_semi"), large))
 
 
-def descendants(nodes: DataFrame, edges_of: DataFrame | None = None) -> DataFrame:
+def descendants(nodes: DataFrame, largest: int = LARGEST) -> DataFrame:
     """tree, scope, ancestor_id, descendant_id, distance: all pairs below each node, loops left out.
 
-    One join a level, each checkpointed: pairs at distance d are joined to the
-    parents of their ancestors. The result is the sum of all depths in rows,
-    which is what was asked for.
+    The result has as many rows as the depths sum up to, which is what was asked for.
     """
-    h = edges_of if edges_of is not None else hierarchy(nodes)
-    trees = cut(h.filter("depth >= 0").select("tree", "scope", "id", "parent_id"))
-    pairs = cut(trees.filter("parent_id is not null").select("tree", "scope", F.col("parent_id").alias("ancestor_id"), F.col("id").alias("descendant_id"), F.lit(1).cast("long").alias("distance")))
-    found = [pairs]
-    above = trees.filter("parent_id is not null").select(F.col("tree").alias("t"), F.col("scope").alias("s"), F.col("id").alias("i"), "parent_id")
-    while True:
-        at = found[-1].join(above, (F.col("tree") == F.col("t")) & F.col("scope").eqNullSafe(F.col("s")) & (F.col("ancestor_id") == F.col("i")))
-        level = cut(at.select("tree", "scope", F.col("parent_id").alias("ancestor_id"), "descendant_id", (F.col("distance") + 1).alias("distance")))
-        if level.isEmpty():
-            break
-        found.append(level)
-    out = found[0]
-    for level in found[1:]:
-        out = out.unionByName(level)
-    return out
+    walked = hierarchy(nodes, largest).filter("depth > 0").select("tree", "scope", F.col("id").alias("descendant_id"), "depth", F.posexplode("ancestors").alias("at", "ancestor_id"))
+    return walked.select("tree", "scope", "ancestor_id", "descendant_id", (F.col("depth") - F.col("at")).alias("distance"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstream.session import lookup_join
+from quillstream.session import cut, lookup_join
 
 
 def running_sum(df: DataFrame, by: list[str], bucket: str, order: list[Column], value: str, out: str) -> DataFrame:
@@ -16,7 +16,7 @@ def running_sum(df: DataFrame, by: list[str], bucket: str, order: list[Column],
     """
     totals = df.groupBy(*by, bucket).agg(F.sum(value).alias("_sum"))
     w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))  # a row a bucket
-    before = totals.select(*by, bucket, (F.sum("_sum").over(w.orderBy(bucket)) - F.col("_sum")).alias("_before"))
+    before = cut(totals.select(*by, bucket, (F.sum("_sum").over(w.orderBy(bucket)) - F.col("_sum")).alias("_before")))
     inner = Window.partitionBy(*by, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     summed = df.withColumn(out, F.sum(value).over(inner))
     return lookup_join(summed, before, [*by, bucket]).withColumn(out, F.col(out) + F.col("_before")).drop("_before")

@@ -71,6 +71,6 @@ def orphans(references: DataFrame, parents: DataFrame, unique: str) -> DataFrame
     orphan if the parent is missing altogether. Repeated rows each come out.
     """
     references = references.filter("key is not null")
-    faulty = cut(faulty_keys(references, parents.filter("key is not null")))
+    faulty = cut(faulty_keys(references, parents.filter("key is not null")).withColumnRenamed("live_from", "_live_from"))
     found = lookup_join(references, faulty, ["target", "key"], salt_by=unique)
-    return found.filter("live_from is null or at < live_from").drop("live_from")
+    return found.filter("_live_from is null or at < _live_from").drop("_live_from")

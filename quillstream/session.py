@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a lookup side up to which it may be broadcast; beyond, the join is shuffled.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 100_000
 #: Copies of the lookup side, and parts of each key of the other, in a salted join.
 SALTS = 16
 
