@@ -76,7 +76,7 @@ def split_headers(text: str) -> tuple[dict[str, str], str]:
         k += 1
     if not headers:
         return {}, text
-    return headers, "\n".join(lines[k:])
+    return headers, "\n".join(lines[k + 1 if k < len(lines) and not lines[k].strip() else k :])
 
 
 def _decoded(body: str, encoding: str, charset: str | None) -> str:
