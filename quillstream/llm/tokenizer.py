@@ -26,10 +26,12 @@ from pyspark.sql import functions as F
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pattern that cuts texts into pieces, as published with this vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-# The same pattern where only ASCII occurs; the standard library runs it faster.
-_ASCII = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
+# The same pattern where only ASCII occurs; the standard library runs it faster. Its \s has
+# four control characters that are no white space here, so white space is written out.
+_ASCII = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^ \t-\rA-Za-z0-9]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+"
 # A line with the white space before it, without that after it: no piece reaches over its ends.
-_LINE = r"\s*\S(?:[^\n]*\S)?|\s+"
+_SPACE = " \\t-\\r\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+_LINE = rf"[{_SPACE}]*[^{_SPACE}](?:[^\n]*[^{_SPACE}])?|[{_SPACE}]+"
 #: Pieces that a worker remembers; beyond, it starts over.
 CACHE = 200_000
 #: Longest piece, in bytes, that is remembered.

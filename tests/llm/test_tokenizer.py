@@ -72,3 +72,11 @@ def test_batches_are_split(spark, monkeypatch):
     monkeypatch.setattr(T, "BATCH_TOKENS", 10)
     df = spark.createDataFrame([(n, "one two three four five " * (n % 4)) for n in range(50)], "doc_id long, text string").coalesce(1)
     assert {r.doc_id: len(r.ids) for r in T.token_ids(df, ["doc_id"], "text").collect()}.keys() == set(range(50))
+
+
+def test_white_space_is_that_of_the_pattern(encoder, other):
+    rnd = random.Random(9)
+    for alphabet in ("a1 '\n\t\r\x0b\x0c\x1c\x1d\x1e\x1f.s\x00", "a1 '\n\x1d\x85\xa0 ᠎ ​ 　﻿.é"):
+        for _ in range(5000):
+            text = "".join(rnd.choices(alphabet, k=rnd.randint(1, 30)))
+            assert list(encoder.encode(text)) == other.encode_ordinary(text), repr(text)
