@@ -7,17 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillstream.llm import mixture, residue, tokenizer
-from quillstream.session import stored, table
+from quillstream.session import spread, stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _documents(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """What the query needs of the documents; reading them in Python costs more than moving a few."""
+    return spread(table(spark, d, "documents").select("doc_id", "text", *columns))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
-    return tokenizer.token_ids(table(spark, d, "documents"), ["doc_id"], "text")
+    return tokenizer.token_ids(_documents(spark, d), ["doc_id"], "text")
 
 
 def p7_counts(spark: SparkSession, d: str) -> DataFrame:
-    return tokenizer.token_counts(table(spark, d, "documents"), ["doc_id"], "text")
+    return tokenizer.token_counts(_documents(spark, d), ["doc_id"], "text")
 
 
 def p7_decoded(spark: SparkSession, d: str) -> DataFrame:
@@ -27,7 +32,7 @@ def p7_decoded(spark: SparkSession, d: str) -> DataFrame:
 
 def _sized(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     targets = mixture.target_table(table(spark, d, "mix_targets"))
-    return mixture.sized(table(spark, d, "documents"), targets, "doc_id", "text", "source", tokenizer.VOCABULARY), targets
+    return mixture.sized(_documents(spark, d, "source"), targets, "doc_id", "text", "source", tokenizer.VOCABULARY), targets
 
 
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
@@ -40,17 +45,17 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return residue.residue(table(spark, d, "documents"), "doc_id", "text").select("doc_id").distinct()
+    return residue.residue(_documents(spark, d), "doc_id", "text").select("doc_id").distinct()
 
 
 def p9_kinds(spark: SparkSession, d: str) -> DataFrame:
     """Each case with what it shows: slot, filler, error or scripts."""
-    return residue.residue(table(spark, d, "documents"), "doc_id", "text")
+    return residue.residue(_documents(spark, d), "doc_id", "text")
 
 
 def p9_templates(spark: SparkSession, d: str) -> DataFrame:
     """The mined message templates with their verdicts and how often they occur."""
-    return residue.template_report(table(spark, d, "documents"), "doc_id", "text")
+    return residue.template_report(_documents(spark, d), "doc_id", "text")
 
 
 def p9_kept(spark: SparkSession, d: str) -> DataFrame:
