@@ -113,3 +113,33 @@ def test_throttle_against_a_loop(spark):
             last[k] = t
             want.add(n)
     assert {r.n for r in pump.throttled(df, F.col("k"), "ts", "n", 10).collect()} == want
+
+
+def test_scan_prunes_folders_and_columns(spark, tmp_path):
+    from quillstream.sources import collection
+
+    df = spark.createDataFrame([(n, date(2024, 1, 1) + timedelta(n), n, "c") for n in range(100)] + [(999, None, 1, "c")], "id int, day date, alter_id int, _company string")
+    path = str(tmp_path / "landed")
+    collection.land(df, path, "day")
+    got = collection.scan(spark, path, ["id"], "day", "2024-01-30", "2024-02-02", "c")
+    assert sorted(r.id for r in got.collect()) == [29, 30, 31, 32]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(cast(_month" in plan or "PartitionFilters: [isnotnull(_month" in plan
+    assert "alter_id" not in plan.split("ReadSchema")[1]
+    assert collection.highest(spark, path) == 99
+    collection.land_again(df.filter("id = 5").withColumn("alter_id", F.lit(500)), path, "day")
+    assert (collection.highest(spark, path), collection.scan(spark, path, ["id"]).count()) == (500, 101 - 31 + 1)
+
+
+def test_every_dataset_has_a_schema(spark):
+    from quillstream import schemas
+
+    assert len(schemas.datasets()) == 34 and len(schemas.datasets(("master",))) == 15
+    assert "uom" not in schemas.datasets(without=frozenset({"uom"}))
+    for name in schemas.datasets():
+        assert len(set(schemas.schema(name, audit=True).names)) == len(schemas.schema(name, audit=True).names)
+    docs = spark.createDataFrame([("d", "<E><VOUCHER><GUID>G</GUID></VOUCHER></E>")], "path string, text string")
+    out = V.fan_out(xml.vouchers(docs), spark.createDataFrame([], "ledger_name string"))
+    for name, df in out.items():
+        assert sorted(df.columns) == sorted(schemas.schema(name).names), name
+        assert schemas.conformed(df, name).schema.simpleString() == schemas.schema(name).simpleString()
