@@ -17,9 +17,8 @@ _WORD = re.compile(r"=\?([^?\s]+)\?([bBqQ])\?([^?]*)\?=")
 _BETWEEN_WORDS = re.compile(r"(=\?[^?\s]+\?[bBqQ]\?[^?]*\?=)\s+(?==\?)")
 _BOUNDARY = re.compile(r'boundary\s*=\s*(?:"([^"]*)"|([^\s;]+))', re.I)
 _CHARSET = re.compile(r'charset\s*=\s*"?([^\s";]+)', re.I)
-_DROPPED = re.compile(r"<(style|script|head|title)\b.*?</\1\s*>|<!--.*?-->", re.I | re.S)
-_QUOTE_BLOCK = re.compile(r"<blockquote\b.*?</blockquote\s*>", re.I | re.S)
-_BREAK = re.compile(r"[ \t]*<(?:br|/p|/div|/tr|/li|/h[1-6]|/table|/ul|/ol|p|div|tr|li|h[1-6])\b[^>]*>[ \t]*\n?", re.I)
+_HIDDEN = re.compile(r"<(style|script|head|title|blockquote)\b|<!--", re.I)
+_BREAK = re.compile(r"<(?:br|/p|/div|/tr|/li|/h[1-6]|/table|/ul|/ol|p|div|tr|li|h[1-6])\b[^<>]*>[ \t]*\n?", re.I)
 _TAG = re.compile(r"<[/!a-zA-Z][^<>]*>")
 # Where older text begins below one's own words: separator lines and lines of attribution.
 _SEPARATOR = re.compile(r"\s*(?:-{3,}\s*(?:Original|Ursprüngliche|Message d'origine|Mensaje original|Mensagem original|Forwarded|Weitergeleitete|Message transféré|Mensaje reenviado|元のメッセージ|मूल संदेश)[^\n]*|_{20,}\s*)$", re.I)
@@ -92,12 +91,31 @@ def _decoded(body: str, encoding: str, charset: str | None) -> str:
     return body
 
 
+def _without_hidden(markup: str) -> str:
+    """Without comments and elements that a page doesn't show, or shows as quoted.
+
+    An element that isn't closed stays; each kind of end is looked for until it
+    is missing once, so that the time stays linear.
+    """
+    out, at, missing = [], 0, set()
+    for m in _HIDDEN.finditer(markup):
+        if m.start() < at:
+            continue
+        name = (m.group(1) or "--").lower()
+        if name in missing:
+            continue
+        end = re.compile("-->" if name == "--" else rf"</{name}\s*>", re.I).search(markup, m.end())
+        if end is None:
+            missing.add(name)
+            continue
+        out += [markup[at : m.start()], " "]
+        at = end.end()
+    return "".join([*out, markup[at:]])
+
+
 def html_text(markup: str) -> str:
     """The text that a page shows, a line a block."""
-    t = _DROPPED.sub(" ", markup)
-    t = _QUOTE_BLOCK.sub(" ", t)
-    t = _BREAK.sub("\n", t)
-    return html.unescape(_TAG.sub("", t))
+    return html.unescape(_TAG.sub("", _BREAK.sub("\n", _without_hidden(markup))))
 
 
 def _parts(headers: dict[str, str], body: str, depth: int = 0) -> tuple[list[str], list[str]]:

@@ -36,8 +36,8 @@ DEPTH = 2
 SIMILAR = 0.6
 #: Distinct units that one task mines, about: the leaves are split by as many salts as that takes.
 TASK_UNITS = 200_000
-#: Words that a unit may have; longer sentences are cut into several units.
-UNIT_WORDS = 60
+#: Words that a unit may have, and letters that a word may have; longer sentences and words are cut into several.
+UNIT_WORDS, WORD_LETTERS = 60, 400
 
 SLOT, VOID, NUMBER, REPEAT = "<slot>", "<void>", "<num>", "<repeat>"
 
@@ -174,7 +174,7 @@ def sentences(lines: list[str]) -> list[str]:
             continue
         if paragraph:
             for s in _ENDS.split(" ".join(paragraph)):
-                words = s.split()
+                words = [w[k : k + WORD_LETTERS] for w in s.split() for k in range(0, len(w), WORD_LETTERS)]
                 out += [" ".join(words[k : k + UNIT_WORDS]) for k in range(0, len(words), UNIT_WORDS)]
             paragraph = []
     return out
@@ -304,19 +304,19 @@ def _joined(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def templates(units: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Mines the templates of all units.
 
-    First: leaf, unit, first (its template within its part), open (it leaves a
-    slot open) and n (how often it occurs), a row for each distinct unit.
-    Second: leaf, first, template and kind, a row for each template of a part;
-    kind is the verdict on ``template``, null for an ordinary one.
+    First: leaf, unit, first (its template within its part) and open (it leaves
+    a slot open), a row for each distinct unit. Second: leaf, first, template
+    and kind, a row for each template of a part; kind is the verdict on
+    ``template``, null for an ordinary one.
     """
-    counted = cut(units.groupBy("unit").agg(F.count("*").alias("n")).withColumn("leaf", _leaf(F.split("unit", " "))))
+    counted = cut(units.select("unit").distinct().withColumn("leaf", _leaf(F.split("unit", " "))))
     salts = counted.count() // TASK_UNITS + 1
     parts = counted.select("unit", F.concat(F.pmod(F.xxhash64("unit"), F.lit(salts)).cast("string"), F.lit("\u0001"), "leaf").alias("part"))
     once = parts.repartition("part").sortWithinPartitions("part", "unit").mapInPandas(_first_pass, "leaf string, unit string, first string, open boolean")
     first = stored(once, "first")
     merged = first.select("leaf", "first").distinct().select(F.col("leaf").alias("part"), "first").repartition("part").sortWithinPartitions("part", "first")
     second = stored(merged.mapInPandas(_second_pass, "leaf string, first string, template string, kind string"), "second")
-    return first.join(counted.select("unit", "n"), "unit"), second
+    return first, second
 
 
 def residue(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -336,6 +336,7 @@ def residue(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def template_report(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
     """template, kind (ordinary where there is no verdict), units (distinct) and occurrences."""
-    first, second = templates(stored(unit_rows(documents, doc_id, text), "units"))
-    both = first.join(second, ["leaf", "first"])
+    units = stored(unit_rows(documents, doc_id, text), "units")
+    first, second = templates(units)
+    both = first.join(second, ["leaf", "first"]).join(units.groupBy("unit").agg(F.count("*").alias("n")), "unit")
     return both.groupBy("template", F.coalesce("kind", F.lit("ordinary")).alias("kind")).agg(F.count("*").alias("units"), F.sum("n").alias("occurrences"))

@@ -116,6 +116,7 @@ class Encoder:
                 except UnicodeDecodeError:
                     pass
         self.automaton.make_automaton()
+        self.reach = max(self.length)
         self.pairs: dict[tuple[int, int], bool] = {}
         self.pieces = _Pieces(self)
         self.cut_any, self.cut_ascii, self.lines = regex.compile(PATTERN).findall, re.compile(_ASCII).findall, re.compile(_LINE).findall
@@ -146,11 +147,12 @@ class Encoder:
     def piece(self, piece: str) -> tuple[int, ...]:
         """The ids of one piece, by backtracking over longest matches."""
         s = piece.encode().decode("latin-1")
-        longest, length, shorter, pairs = self.automaton.iter_long, self.length, self.tables.shorter, self.pairs
+        longest, length, shorter, pairs, reach = self.automaton.iter_long, self.length, self.tables.shorter, self.pairs, self.reach
         dead = bytearray(len(s) + 1)
         out: list[int] = []
         at, end_of = 0, len(s)
-        token = next(longest(s, 0))[1]
+        # a search costs time for the text it is handed, so it gets no more than the longest token
+        token = next(longest(s[:reach]))[1]
         while True:
             end = at + length[token]
             fits = not dead[end]
@@ -166,7 +168,7 @@ class Encoder:
                 if end == end_of:
                     return tuple(out)
                 at = end
-                token = next(longest(s, at))[1]
+                token = next(longest(s[at : at + reach]))[1]
                 continue
             token_before = token
             token = shorter[token_before]
