@@ -117,7 +117,7 @@ def _walk(batch: pd.DataFrame) -> pd.DataFrame:
         if u < 0:
             root[i], depth[i], path[i] = ids[i], 0, names[i] or ""
             search(i, True)
-    # every component left holds one loop; going up long enough reaches it
+    # every component left holds one loop, which going up reaches; the search starts from its smallest node
     for i in range(len(nodes)):
         if colour[i] == white:
             seen: set[int] = set()
@@ -125,7 +125,11 @@ def _walk(batch: pd.DataFrame) -> pd.DataFrame:
             while j not in seen:
                 seen.add(j)
                 j = up[j]
-            search(j, False)
+            loop, k = [j], up[j]
+            while k != j:
+                loop.append(k)
+                k = up[k]
+            search(min(loop, key=nodes.__getitem__), False)
     out = batch[["tree", "scope", "id", "name", "parent_id", "component"]].copy()
     out["root_id"], out["depth"], out["path"], out["closes_loop"] = root, depth, path, closes
     out["ancestors"] = ancestors
@@ -174,7 +178,7 @@ def hierarchy(nodes: DataFrame, largest: int = LARGEST) -> DataFrame:
     names and parents plain, null for blank. Rows with a null id are left out.
     A node that is its own parent, lies on a loop or leads up into one has
     root_id ``cycle``, depth -1, a null path and null ancestors; ``closes_loop``
-    marks one node of each loop, whose edge to its parent closes it.
+    marks the smallest node of each loop, whose edge to its parent closes it.
     ``ancestors`` holds ids from the root down to the parent. An empty table
     gives an empty one; other columns are ignored.
     """

@@ -110,6 +110,11 @@ walk AS (SELECT tree, company, id, id AS root, 0 AS depth, coalesce(name, '') AS
 pairs AS (SELECT e.tree, e.company, e.up AS ancestor_id, e.id AS descendant_id, 1 AS distance FROM e JOIN walk w ON w.tree = e.tree AND w.company = e.company AND w.id = e.id WHERE e.up IS NOT NULL
   UNION ALL SELECT p.tree, p.company, e.up, p.descendant_id, p.distance + 1 FROM pairs p JOIN e ON e.tree = p.tree AND e.company = p.company AND e.id = p.ancestor_id WHERE e.up IS NOT NULL)"""
 
+# from every node caught in a loop to all it reaches by going up
+_P2_LOOPS = f"""{_P2}, caught AS (SELECT e.* FROM e WHERE e.up IS NOT NULL AND NOT EXISTS (SELECT 1 FROM walk w WHERE w.tree = e.tree AND w.company = e.company AND w.id = e.id)),
+climb AS (SELECT tree, company, id AS start, up AS reached FROM caught UNION SELECT c.tree, c.company, c.start, e.up FROM climb c JOIN caught e ON e.tree = c.tree AND e.company = c.company AND e.id = c.reached),
+low AS (SELECT tree, company, start, min(reached) AS least, bool_or(reached = start) AS on_loop FROM climb GROUP BY 1, 2, 3)"""
+
 # ------------------------------------------------------------------- 3: nested
 
 
@@ -164,6 +169,24 @@ each_entry AS (SELECT voucher_guid, unnest(es) AS e, unnest(range(len(es))) AS e
 _P3_BILLS = f"""{_P3_VOUCHERS},
 bills AS (SELECT voucher_guid, entry_index, coalesce(trim(json_extract_string(e, '$.LEDGERNAME'), ' '), '') AS ledger_name, unnest({_BILLS_OF}) AS b, unnest(range(len({_BILLS_OF}))) AS k FROM each_entry),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY voucher_guid ORDER BY entry_index, k) - 1 AS line_index FROM bills)"""
+
+
+def _inner_list_sql(x: str, name: str) -> str:
+    return _list_sql(x).replace("lambda j", f"lambda {name}").replace("json_type(j)", f"json_type({name})")
+
+
+_BANKS_OF = _inner_list_sql("""json_extract(e, '$."BANKALLOCATIONS.LIST"')""", "q")
+_DIRECT_OF = _inner_list_sql("""json_extract(e, '$."COSTCENTREALLOCATIONS.LIST"')""", "q")
+_CATEGORIES_OF = _inner_list_sql("""json_extract(e, '$."CATEGORYALLOCATIONS.LIST"')""", "q")
+_CENTRES_OF = _inner_list_sql("""json_extract(g, '$."COSTCENTREALLOCATIONS.LIST"')""", "q")
+_P3_BANKS = f"""{_P3_VOUCHERS},
+banks AS (SELECT voucher_guid, entry_index, e, unnest({_BANKS_OF}) AS b, unnest(range(len({_BANKS_OF}))) AS k FROM each_entry),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY voucher_guid ORDER BY entry_index, k) - 1 AS line_index FROM banks)"""
+_P3_COSTS = f"""{_P3_VOUCHERS},
+direct AS (SELECT voucher_guid, entry_index, e, 0 AS part, 0 AS gi, unnest({_DIRECT_OF}) AS b, unnest(range(len({_DIRECT_OF}))) AS k, '' AS cost_category FROM each_entry),
+categories AS (SELECT voucher_guid, entry_index, e, unnest({_CATEGORIES_OF}) AS g, unnest(range(len({_CATEGORIES_OF}))) AS gi FROM each_entry),
+costs AS (SELECT * FROM direct UNION ALL SELECT voucher_guid, entry_index, e, 1, gi, unnest({_CENTRES_OF}), unnest(range(len({_CENTRES_OF}))), coalesce(trim(json_extract_string(g, '$.CATEGORY'), ' '), '') FROM categories),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY voucher_guid ORDER BY entry_index, part, gi, k) - 1 AS line_index FROM costs)"""
 _TEXT = "coalesce(trim(json_extract_string({}, '$.{}'), ' '), '')"
 
 _NUMBER = "coalesce(try_cast(regexp_replace({}, '[^0-9.\\-]', '', 'g') AS DOUBLE), 0)"
@@ -298,6 +321,9 @@ def oracle_sql() -> dict[str, str]:
         "p3_bill_allocations": f"WITH {_P3_BILLS} SELECT voucher_guid, line_index, entry_index, ledger_name, {_TEXT.format('b', 'NAME')} AS bill_ref, {_TEXT.format('b', 'BILLTYPE')} AS bill_type, {_NUMBER.format(_TEXT.format('b', 'AMOUNT'))} AS amount FROM numbered",
         "p3_ledger_entries": f"WITH {_P3_VOUCHERS} SELECT voucher_guid, entry_index, {_TEXT.format('e', 'LEDGERNAME')} AS ledger_name, {_NUMBER.format(_TEXT.format('e', 'AMOUNT'))} AS amount, {_TEXT.format('e', 'ISDEEMEDPOSITIVE')} AS is_deemed_positive FROM each_entry",
         "p3_vouchers": f"WITH {_P3_VOUCHERS} SELECT voucher_guid, msg_no, {_TEXT.format('v', 'DATE')} AS date_text, {_TEXT.format('v', 'VOUCHERTYPENAME')} AS voucher_type, {_TEXT.format('v', 'VOUCHERNUMBER')} AS voucher_number, {_TEXT.format('v', 'NARRATION')} AS narration FROM entries",
+        "p2_loops": f"{_P2_LOOPS} SELECT low.tree AS tree_name, low.company, start AS node_guid, caught.up AS parent_guid FROM low JOIN caught ON caught.tree = low.tree AND caught.company = low.company AND caught.id = low.start WHERE on_loop AND start = least",
+        "p3_bank_allocations": f"WITH {_P3_BANKS} SELECT voucher_guid, line_index, entry_index, {_TEXT.format('e', 'LEDGERNAME')} AS ledger_name, {_TEXT.format('b', 'TRANSACTIONTYPE')} AS transaction_type, {_TEXT.format('b', 'INSTRUMENTNUMBER')} AS instrument_number, {_NUMBER.format(_TEXT.format('b', 'AMOUNT'))} AS amount FROM numbered",
+        "p3_cost_centre_allocations": f"WITH {_P3_COSTS} SELECT voucher_guid, line_index, entry_index, {_TEXT.format('e', 'LEDGERNAME')} AS ledger_name, cost_category, {_TEXT.format('b', 'NAME')} AS cost_centre, {_NUMBER.format(_TEXT.format('b', 'AMOUNT'))} AS amount FROM numbered",
         "p4_found": f"{_P4} SELECT company, bank_account, {iso.format('d', 'day_on')} FROM rolled WHERE d >= a + 29 AND (debit_7 + credit_7) * 10 > (debit_30 + credit_30) * 7",
         "p4_rolling": f"{_P4} SELECT company, bank_account, {iso.format('d', 'day_on')}, "
         + ", ".join(f"CAST({a}_{n} AS DOUBLE) AS {a}_total_{n}, CAST({a}_{n} AS DOUBLE) / {n} AS {a}_mean_{n}" for a in ("debit", "credit") for n in P4_LENGTHS)
