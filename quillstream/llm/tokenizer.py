@@ -14,6 +14,7 @@ reads each token's bytes from one blob through an offset table.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -134,11 +135,18 @@ class Encoder:
 
     def encode(self, text: str | None) -> Iterator[int]:
         """The ids of a text; none for a null or empty one."""
+        return chain.from_iterable(self._by_piece(text))
+
+    def count(self, text: str | None) -> int:
+        """The number of ids of a text."""
+        return sum(map(len, self._by_piece(text)))
+
+    def _by_piece(self, text: str | None) -> Iterator[tuple[int, ...]]:
         if not text:
             return iter(())
         if len(self.pieces) > CACHE:
             self.pieces = _Pieces(self)
-        return chain.from_iterable(map(self.pieces.__getitem__, self.cut(text)))
+        return map(self.pieces.__getitem__, self.cut(text))
 
     def decode(self, ids: list[int]) -> str:
         offsets, blob = self.offsets, self.blob
@@ -220,32 +228,24 @@ def _encoded(df: DataFrame, id_columns: list[str], text: str, path: str, counts:
     tables = _broadcast(df, path)
     picked = df.select(*id_columns, F.col(text).cast("string").alias("_text"))
     schema = picked.drop("_text").withColumn("n_tokens" if counts else "ids", F.lit(0).cast("long") if counts else F.array().cast("array<int>")).schema
-    value = pa.int64() if counts else pa.list_(pa.int32())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(path, tables)
         for batch in batches:
             texts = batch.column(len(id_columns))
-            start, sizes, flat = 0, [], []
-
-            def made(end: int) -> pa.RecordBatch:
-                ids = [batch.column(k).slice(start, end - start) for k in range(len(id_columns))]
-                if counts:
-                    result = pa.array(sizes, value)
-                else:
-                    result = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype("int32")), pa.array(np.array(flat, dtype="int32")))
-                return pa.RecordBatch.from_arrays([*ids, result], names=[*id_columns, "n_tokens" if counts else "ids"])
-
+            if counts:
+                sizes = pa.array([encoder.count(t.as_py()) for t in texts], pa.int64())
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(id_columns)], sizes], names=[*id_columns, "n_tokens"])
+                continue
+            start, ends, flat = 0, [0], array("i")
             for k in range(len(texts)):
-                ids = list(encoder.encode(texts[k].as_py()))
-                sizes.append(len(ids))
-                if not counts:
-                    flat.extend(ids)
-                    if len(flat) > BATCH_TOKENS:
-                        yield made(k + 1)
-                        start, sizes, flat = k + 1, [], []
-            if sizes:
-                yield made(len(texts))
+                flat.extend(encoder.encode(texts[k].as_py()))
+                ends.append(len(flat))
+                if len(flat) > BATCH_TOKENS or k + 1 == len(texts):
+                    ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, dtype="int32")))
+                    keys = [batch.column(c).slice(start, k + 1 - start) for c in range(len(id_columns))]
+                    yield pa.RecordBatch.from_arrays([*keys, ids], names=[*id_columns, "ids"])
+                    start, ends, flat = k + 1, [0], array("i")
 
     return picked.mapInArrow(run, schema)
 
