@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.session import cut
+from quillstream.session import cut, shipped
 
 #: Nodes of a component that one task walks at most.
 LARGEST = 200_000
@@ -182,6 +182,7 @@ def hierarchy(nodes: DataFrame, largest: int = LARGEST) -> DataFrame:
     ``ancestors`` holds ids from the root down to the parent. An empty table
     gives an empty one; other columns are ignored.
     """
+    shipped(nodes.sparkSession)
     edges = cut(linked(nodes.select("tree", "scope", "id", "name", "parent").filter("id is not null")))
     label = cut(components(edges))
     sizes = label.groupBy("component").count().filter(F.col("count") > largest).select("component")

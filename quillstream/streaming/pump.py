@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstream.operators.warehouse import latest
-from quillstream.session import shared_dir
+from quillstream.session import shared_dir, shipped
 
 
 def source(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -78,6 +78,7 @@ def throttled(df: DataFrame, key: Column, at: str, unique: str, minutes: int) ->
     cut a key's alerts into stretches that are thinned apart from each other, in
     order of time, with one value of state.
     """
+    shipped(df.sparkSession)
     seconds = F.col(at).cast("timestamp").cast("double")
     w = Window.partitionBy("_key").orderBy("_s", unique)
     rows = df.select(key.cast("string").alias("_key"), seconds.alias("_s"), F.col(unique))
