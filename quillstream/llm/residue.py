@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstream.llm import mime
-from quillstream.session import cut, lookup_join, stored
+from quillstream.session import cut, lookup_join, shipped, stored
 
 #: Words of a unit that choose its leaf, after their number.
 DEPTH = 2
@@ -208,6 +208,7 @@ WILD = "<*>"
 
 def unit_rows(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
     """doc_id and unit, one row for each unit of each mail in order; none for null and empty texts."""
+    shipped(documents.sparkSession)
     picked = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     schema = picked.drop("text").withColumn("units", F.array(F.lit(""))).schema
 

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillstream.session import shipped
+
 #: Where the vocabulary lies unless a path is given.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pattern that cuts texts into pieces, as published with this vocabulary.
@@ -217,6 +219,7 @@ _BROADCASTS: dict[tuple[str, str], object] = {}
 
 
 def _broadcast(df: DataFrame, path: str):
+    shipped(df.sparkSession)
     sc = df.sparkSession.sparkContext
     key = (sc.applicationId, path)
     if key not in _BROADCASTS:
