@@ -55,11 +55,14 @@ _SLOTS = re.compile(
     ),
     re.I,
 )
-#: A field's name in single square brackets; at the start of a sentence or subject this is a tag.
-_BRACKETED = re.compile(r"(?<=[\w,:] )\[[A-Z][A-Za-z]*[a-z][A-Za-z]*(?: [A-Z]?[A-Za-z]+){0,2}\](?!\()")
+#: A field's name in single square brackets. At the start of a sentence or subject brackets are a tag, unless a
+#: colon follows; in small letters they are a remark, unless they name what fields are called.
+_FIELD_NAME = r"(?:[a-z]+ ){0,2}(?:name|firstname|lastname|surname|title|salutation|greeting|recipient|customer|client|company|manager|city|street|address|country|email|phone|id|no|number|date|duedate|period|month|amount|total|due|balance)(?: [a-z]+)?"
+_BRACKETED = re.compile(rf"(?<=[\w,:] )\[[A-Z][A-Za-z]*[a-z][A-Za-z]*(?: [A-Z]?[A-Za-z]+){{0,2}}\](?!\()|(?<=[\w,:] )\[{_FIELD_NAME}\]|^\[(?i:{_FIELD_NAME})\](?=\s*:)")
 _ANSWER = re.compile(r"^(?:\s*(?:re|aw|fwd?|wg|tr|rv|res|enc|sv)\s*:)+\s*", re.I)
-# What programs print for a value that is not there.
-_VOIDS = re.compile(r"\[object Object\]|(?<![\w/.-])(?:undefined|NaN|null|None)(?![\w/-])(?: (?:undefined|NaN|null|None)(?![\w/-]))*")
+# What programs print for a value that is not there; the first is no word of any language.
+_OBJECT = "[object Object]"
+_VOIDS = re.compile(r"(?<![\w/.-])(?:undefined|NaN|null|None)(?![\w/-])(?: (?:undefined|NaN|null|None)(?![\w/-]))*")
 
 # Words with which people speak of templates and fields rather than use them.
 _TALK = re.compile(
@@ -67,7 +70,7 @@ _TALK = re.compile(
     re.I,
 )
 
-_TODAY = r"(?:yesterday|today|this morning|last (?:week|night|month|monday|tuesday|wednesday|thursday|friday)|twice|gestern|heute|hier soir|hier|ayer|ontem|hoje)"
+_TODAY = r"(?:yesterday|today|this morning|last (?:week|night|month|monday|tuesday|wednesday|thursday|friday)|twice|gestern|heute|hier (?:soir|matin)|ayer|ontem|hoje)"
 _PERSONAL = re.compile(rf"\b(?:I|I'd|I've|I'll|ich|je|j'ai|eu|yo)\b|\b{_TODAY}\b|\b(?:driver|register|auditors|demo machine|bank's|gateway at|desk)\b|Schulungsrechner|Vorführung|l'équipe|\bya lo han\b|昨日|今朝|कल\b", re.I)
 
 # What pages say that want scripts.
@@ -86,7 +89,7 @@ _ERRORS = re.compile(
 
 # What stands in a draft until its text is written.
 _FILLER = re.compile(
-    r"placeholder (?:copy|text)\b|body copy goes here|(?:your|the) text (?:goes )?here|type your (?:message|text) (?:here|in this)|\(insert (?:paragraph|text|content)|insert (?:your )?(?:text|content|copy) here|^\W*to be (?:completed|written|supplied|added|confirmed)\W*$|sample (?:content|text) (?:for|goes)|^\W*headline <num>\W*$|dummy text\W+dummy text|^\W*dummy text\W*$|test message,? please ignore|this is (?:only )?a (?:test|dummy) (?:message|text)|lorem ipsum (?:dolor )?sit|(?:replace|overwrite|delete) this (?:paragraph|text|line|section)\b|blindtext\W+blindtext|hier steht später ihr text|ihr text hier|(?:ersetzen|überschreiben) sie diesen (?:text|absatz)|remplacez ce (?:texte|paragraphe)|(?:reemplace|sustituya) este (?:texto|párrafo)|substitua este (?:texto|parágrafo)|hier kommt ihr text|votre texte ici|texte de remplissage|texte à venir|(?:su|tu) texto aquí|texto de relleno|(?:seu|o seu) texto aqui|texto de preenchimento|ここにテキスト|ここに本文|ダミーテキスト|サンプルテキスト|यहाँ (?:अपना )?(?:पाठ|टेक्स्ट)|नमूना पाठ",
+    r"placeholder (?:copy|text)\b|body copy goes here|(?:your|the) text (?:goes )?here|type your (?:message|text) (?:here|in this)|\(insert (?:paragraph|text|content)|insert (?:your )?(?:text|content|copy) here|^\W*to be (?:completed|written|supplied|added|confirmed)\W*$|sample (?:content|text) (?:for|goes)|^\W*headline <num>\W*$|dummy text\W+dummy text|^\W*dummy text\W*$|test message,? please ignore|this is (?:only )?a (?:test|dummy) (?:message|text)|lorem ipsum (?:dolor )?sit|\bbla(?:h)?\W+bla(?:h)?\b|here comes the (?:real )?text|(?:real|final) text (?:comes )?later|click (?:here )?to (?:add|edit) (?:text|title|content)|klicken sie(?:,| hier,?)? um (?:text|titel)|cliquez pour (?:ajouter|modifier)|haga clic para (?:agregar|añadir)|clique para (?:adicionar|inserir)|escriba aquí|escreva aqui|saisissez (?:ici|votre texte)|(?:geben|schreiben) sie hier|(?:replace|overwrite|delete) this (?:paragraph|text|line|section)\b|blindtext\W+blindtext|hier steht später ihr text|ihr text hier|(?:ersetzen|überschreiben) sie diesen (?:text|absatz)|remplacez ce (?:texte|paragraphe)|(?:reemplace|sustituya) este (?:texto|párrafo)|substitua este (?:texto|parágrafo)|hier kommt ihr text|votre texte ici|texte de remplissage|texte à venir|(?:su|tu) texto aquí|texto de relleno|(?:seu|o seu) texto aqui|texto de preenchimento|ここにテキスト|ここに本文|ダミーテキスト|サンプルテキスト|यहाँ (?:अपना )?(?:पाठ|टेक्स्ट)|नमूना पाठ",
     re.I,
 )
 # Pseudo-Latin that typesetters use, and keys hit at random.
@@ -121,7 +124,7 @@ def is_filler_words(unit: str) -> bool:
         return True
     if any(w in _FUNCTION for w in words):
         return False
-    if "lorem" in words and "ipsum" in words:
+    if "lorem" in words and "ipsum" in words or len(words) >= 5 and latin >= 2 and latin * 4 >= len(words):
         return True
     known = sum(w in _MASH or w in _LATIN for w in words)
     distinct = len(set(words))
@@ -129,7 +132,7 @@ def is_filler_words(unit: str) -> bool:
 
 
 _MARKS = re.compile(r"[{<%@#«*\[]|__|\$\(")
-_VOID_HINT = re.compile(r"undefined|NaN|null|None|\[object ")
+_VOID_HINT = re.compile(r"undefined|NaN|null|None")
 _STATUS = re.compile(r"(?<![\w.])[45]\d\d(?![\w.,]\d|\w)")
 _URL = re.compile(r"[Hh][Tt][Tt][Pp][Ss]?://\S+")
 _MAIL = re.compile(r"[\w.+-]+@[\w-]+\.[\w.-]+")
@@ -140,6 +143,8 @@ _DIGIT = re.compile(r"\d")
 def masked(unit: str) -> str:
     """The unit with its variable parts masked, in lower case."""
     t = unit
+    if _OBJECT in t:
+        t = t.replace(_OBJECT, f" {SLOT} ")
     if _MARKS.search(t):
         t = _SLOTS.sub(f" {SLOT} ", t)
         t = _BRACKETED.sub(f" {SLOT} ", t)
@@ -185,9 +190,17 @@ def open_slot(unit: str) -> bool:
     return (SLOT in unit or VOID in unit and _void_used(unit)) and not _TALK.search(unit)
 
 
+# What stands before a name, a number or a date in form letters.
+_BEFORE_VALUE = re.compile(
+    r"(?:\b(?:hello|hi|dear|contact|payment|balance of|invoice|statement|order|receipt|reminder for|for|from|on|am|of|le|la|el|rechnung|kontoauszug|facture|relevé|factura|extracto|fatura|extrato|estimado/a|estimado|estimada|bonjour|cher|chère|hola|olá|prezado|prezada|prezado/a|caro|hallo|guten tag|geehrte/r|geehrter|geehrte|em|dia|vence|a|o|sr|sra|mr|mrs|ms|herr|frau|à|请)|l'|नमस्ते|प्रिय) ?[,:]?$"
+)
+
+
 def _void_used(unit: str) -> bool:
-    """A void value counts where a value belongs: after a preposition, a greeting or beside another slot."""
-    return bool(re.search(r"(?:^|\b(?:hello|hi|dear|contact|payment|balance of|for|from|on|am|of|le|la|el|l'|rechnung|facture|factura|fatura|estimado/a|bonjour|hola|olá|hallo|guten tag|geehrte/r|geehrter|geehrte|prezado|prezada|prezado/a|caro|cher|chère|em|dia|vence|a|o|sr|sra|mr|mrs|ms|herr|frau|à|नमस्ते|प्रिय)) ?[,:]?" + VOID, unit))
+    """A void value counts where a value belongs: beside a slot or another void, before a colon, or after the words of a form letter."""
+    if SLOT in unit or unit.count(VOID) > 1 or re.match(VOID + " ?:", unit):
+        return True
+    return bool(_BEFORE_VALUE.search(unit[: unit.index(VOID)].rstrip()))
 
 
 def verdict(template: str) -> str | None:
@@ -202,6 +215,11 @@ def verdict(template: str) -> str | None:
     return "slot" if open_slot(template) else None
 
 
+# Some stem of every pattern of _SCRIPTS, _ERRORS and _FILLER: a unit without any is none of these.
+_STEM = re.compile(
+    r"script|browser|url|server|resource|block|access|permission|referenc|wrong|load|code|traceback|file|error|exception|object|fault|trace|fatal|warning|sqlstate|request|limited|session|sign in|reach|respond|connection|found|unavailable|looking for|status|http|introuvable|gefunden|p[áa]gina|ページ|पृष्ठ|पेज|エラー|त्रुटि|fehler|erreur|erro\b|denied|verweigert"
+    r"|placeholder|copy|text|here|type your|insert|completed|written|supplied|added|confirmed|sample|headline|dummy|test|lorem|ihr |tex[zt]|テキスト|本文|पाठ|टेक्स्ट|this (?:paragraph|line|section)|bla|click|cli[qc]|klick|escr|sais|hier|absatz|paragraphe|párrafo|parágrafo|\bat [\w$]+\."
+)
 _SPECIAL = (SLOT, VOID, "<status>")
 WILD = "<*>"
 
@@ -240,7 +258,7 @@ class _Leaf:
     def place(self, unit: str) -> int:
         if unit in self.exact:
             return self.exact[unit]
-        words = unit.split(" ")
+        words = [w.rstrip(".,;!?") or w for w in unit.split(" ")]
         best, most = -1, SIMILAR * len(words)
         for k, t in enumerate(self.templates):
             same = sum(a == b for a, b in zip(t, words))
@@ -276,7 +294,8 @@ def _mined(batches: Iterator[pd.DataFrame], text: str, finish) -> Iterator[pd.Da
 
 def _first_pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def finish(part: str, texts: list[str], templates: list[str]) -> pd.DataFrame:
-        return pd.DataFrame({"leaf": part.split("\u0001", 1)[1], "unit": texts, "first": templates, "open": [open_slot(t) for t in texts]})
+        own = [own_verdict(u, t) for u, t in zip(texts, templates)]
+        return pd.DataFrame({"leaf": part.split("\u0001", 1)[1], "unit": texts, "first": templates, "own": own})
 
     yield from _joined(_mined(batches, "unit", finish))
 
@@ -289,6 +308,15 @@ def _second_pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield from _joined(_mined(batches, "first", finish))
 
 
+def own_verdict(unit: str, template: str) -> str | None:
+    """What the verdict on its template can't say of a unit: a slot it leaves open, or what stands where the template has wildcards."""
+    if SLOT in unit or VOID in unit:
+        return verdict(unit)
+    if WILD in template and (_STEM.search(unit) or is_filler_words(unit)):
+        return verdict(unit)
+    return None
+
+
 def _joined(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Fewer, larger frames."""
     held, rows = [], 0
@@ -305,15 +333,15 @@ def _joined(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def templates(units: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Mines the templates of all units.
 
-    First: leaf, unit, first (its template within its part) and open (it leaves
-    a slot open), a row for each distinct unit. Second: leaf, first, template
+    First: leaf, unit, first (its template within its part) and own (the verdict
+    on the unit itself, where it needs one), a row for each distinct unit. Second: leaf, first, template
     and kind, a row for each template of a part; kind is the verdict on
     ``template``, null for an ordinary one.
     """
     counted = cut(units.select("unit").distinct().withColumn("leaf", _leaf(F.split("unit", " "))))
     salts = counted.count() // TASK_UNITS + 1
     parts = counted.select("unit", F.concat(F.pmod(F.xxhash64("unit"), F.lit(salts)).cast("string"), F.lit("\u0001"), "leaf").alias("part"))
-    once = parts.repartition("part").sortWithinPartitions("part", "unit").mapInPandas(_first_pass, "leaf string, unit string, first string, open boolean")
+    once = parts.repartition("part").sortWithinPartitions("part", "unit").mapInPandas(_first_pass, "leaf string, unit string, first string, own string")
     first = stored(once, "first")
     merged = first.select("leaf", "first").distinct().select(F.col("leaf").alias("part"), "first").repartition("part").sortWithinPartitions("part", "first")
     second = stored(merged.mapInPandas(_second_pass, "leaf string, first string, template string, kind string"), "second")
@@ -323,15 +351,16 @@ def templates(units: DataFrame) -> tuple[DataFrame, DataFrame]:
 def residue(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
     """doc_id and kind (slot, filler, error or scripts), a row for each mail and kind it shows.
 
-    The verdicts on templates go to their units and from those to the mails; of
-    units with an ordinary template those that leave a slot open are added.
+    The verdicts on templates go to their units and from those to the mails. Of
+    units with an ordinary template those are added that leave a slot open, or
+    say in place of the template's wildcards what gives a verdict.
     Copies of a case are cases; null and empty texts are none. Ids may repeat.
     """
     units = stored(unit_rows(documents, doc_id, text), "units")
     first, second = templates(units)
     ill = cut(second.filter("kind is not null").select("leaf", "first", "kind"))
-    judged = lookup_join(first.select("leaf", "first", "unit", "open"), ill, ["leaf", "first"], "left", salt_by="unit")
-    flagged = cut(judged.withColumn("kind", F.coalesce("kind", F.when(F.col("open"), F.lit("slot")))).filter("kind is not null").select("unit", "kind"))
+    judged = lookup_join(first.select("leaf", "first", "unit", "own"), ill, ["leaf", "first"], "left", salt_by="unit")
+    flagged = cut(judged.withColumn("kind", F.coalesce("kind", "own")).filter("kind is not null").select("unit", "kind"))
     return lookup_join(units, flagged, ["unit"], salt_by="doc_id").select("doc_id", "kind").distinct()
 
 

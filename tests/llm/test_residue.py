@@ -13,6 +13,11 @@ CASES = [
     ("Hi", "Your statement for %%MONTH%% is ready, ${customer.name}.\n"),
     ("Hi", "Hello undefined,\n\nwe have your payment.\n"),
     ("Hi", "Guten Tag,\n\nIhre Rechnung [HIER NUMMER EINTRAGEN] ist am *|DATE|* fällig.\n"),
+    ("[Branch City]: reminder", "Hello,\n\nplease see below.\n"),
+    ("Invoice NaN", "Hello,\n\nplease see below.\n"),
+    ("Hi", "Estimado/a [object Object]:\n\nsu factura vence hoy.\n"),
+    ("Hi", "bla bla bla, here comes the real text later\n"),
+    ("Hi", "Click to add text\n"),
     ("Hi", "Lorem ipsum dolor sit amet, consectetur adipiscing elit.\n"),
     ("Hi", "asdf asdf qwer\njkl asdf asdf\n"),
     ("Hi", "xxxxxxxx xxxxxxxxxxxx\nxxxxx xxxxxx\n"),
@@ -33,6 +38,7 @@ SPEECH = [
     ("Hi", "Fine.\n\nOn Mon, 1 Jan 2024, Ann wrote:\n> Dear {{name}},\n> 404 Not Found\n"),
     ("Hi", "Fine.\n\n-----Original Message-----\nFrom: Ann\n\nPlease enable JavaScript to view this message.\n"),
     ("Undelivered mail", "Delivery to the following recipient failed permanently:\na@b.example\n550 5.1.1 mailbox unavailable\n"),
+    ("[Note]: lists", "None of them came. The date is undefined so far.\n"),
     ("Hi", "[EXTERNAL] Take care with links.\n"),
 ]
 
@@ -97,6 +103,14 @@ def test_salted_leaves_give_the_same(documents, monkeypatch, task_units):
     assert {tuple(r) for r in Z.residue(documents, "doc_id", "text").collect()} == want
 
 
+def test_wildcards_hide_nothing(spark):
+    """Units that differ where the verdict lies share a template, and each is still judged for itself."""
+    rows = [(n, _mail("Hi", f"Please {w} it all to see the page.\n")) for n, w in enumerate(["take", "give", "read", "enable javascript for", "send"])]
+    rows += [(10 + n, _mail("Hi", f"Your text goes here{end}\n")) for n, end in enumerate([".", "", "!", "?"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in Z.residue(df, "doc_id", "text").collect()} == {i for i, t in rows if _direct(t)} >= {10, 11, 12, 13}
+
+
 def test_templates(documents):
     rows = Z.template_report(documents, "doc_id", "text").collect()
     assert any(Z.WILD in r.template and r.units > 1 for r in rows)
