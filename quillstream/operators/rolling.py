@@ -49,7 +49,8 @@ def trailing_runs(df: DataFrame, keys: list[str], day: str, amounts: list[str],
         deltas = [(F.col(f"a{i}") if real else -F.col(f"a{i}") if n == leaves else zero).cast("decimal(28,2)").alias(f"d{i}_{n}") for i, n in sums]
         return F.struct(day_at.alias("day"), F.lit(real).alias("real"), *deltas)
 
-    events = daily.select(*names, F.inline(F.array(event(F.col("day"), None, True), *(event(F.col("day") + n, n, False) for n in lengths))))
+    # an entity has a row a day at most by now: laid together here, its deltas need no further shuffle
+    events = daily.repartition(*names).select(*names, F.inline(F.array(event(F.col("day"), None, True), *(event(F.col("day") + n, n, False) for n in lengths))))
     changes = events.groupBy(*names, "day").agg(F.max("real").alias("real"), *(F.sum(f"d{i}_{n}").alias(f"d{i}_{n}") for i, n in sums))
     whole = Window.partitionBy(*names)
     w = whole.orderBy("day")
