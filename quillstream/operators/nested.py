@@ -4,7 +4,8 @@ A body is parsed once, into a variant. Wherever an element may repeat it can be
 an array, a lone object, an empty array, null or absent; ``each`` turns all of
 these into an array of structs. Nested ``transform`` calls carry the voucher's
 keys and the entry's index down, ``flatten`` joins the arrays of one level and
-one ``inline`` per target table emits its rows. No row is shuffled but for
+one ``inline`` per target table emits its rows (the outer form, whose empty
+row is dropped: it keeps the optimizer from computing the array twice). No row is shuffled but for
 keeping the first voucher of each GUID.
 """
 
@@ -51,14 +52,15 @@ def vouchers(messages: DataFrame, number: str = "msg_no", body: str = "body", ch
     """
     spark = messages.sparkSession
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")  # of a repeated key the last value holds
-    # parsed inside an array with an end mark: what follows a body's end breaks the parse or the mark
+    # Parsed inside an array with an end mark: what follows a body's end breaks the parse or the mark. No filter
+    # stands between parsing and unnesting, or it would be pushed below and parse each body once more.
     wrapped = messages.select(F.coalesce(F.col(number), F.lit(2**63 - 1)).cast("long").alias("msg_no"), F.expr(f"""try_parse_json('[' || {body} || ', "{_END}"]')""").alias("w"))
-    whole = wrapped.filter(f"try_variant_get(w, '$[1]', 'string') = '{_END}'")
-    top = whole.selectExpr("msg_no", f"try_variant_get(w, '$[0]', '{_struct(['VOUCHER', 'ENVELOPE'])}') as top").filter("top is not null")
+    top = wrapped.selectExpr("msg_no", f"if(try_variant_get(w, '$[1]', 'string') = '{_END}', try_variant_get(w, '$[0]', '{_struct(['VOUCHER', 'ENVELOPE'])}'), null) as top")
     messages_of = each("try_variant_get(top.ENVELOPE, '$.BODY.DATA.TALLYMESSAGE', 'variant')", ["VOUCHER"])
     fields = [*VOUCHER_TEXTS, ENTRIES, OTHER_ENTRIES]
     found = top.selectExpr("msg_no", f"concat({each('top.VOUCHER', fields)}, flatten(transform({messages_of}, m -> {each('m.VOUCHER', fields)}))) as found")
-    one = found.selectExpr("msg_no", "posexplode(found) as (at, v)").withColumn("voucher_guid", plain_or_null(F.expr("try_variant_get(v.GUID, '$', 'string')"))).filter("voucher_guid is not null")
+    # outer: for an inner one a filter on the array's size would be inferred and repeat all of the above
+    one = found.selectExpr("msg_no", "posexplode_outer(found) as (at, v)").withColumn("voucher_guid", plain_or_null(F.expr("try_variant_get(v.GUID, '$', 'string')"))).filter("voucher_guid is not null")
 
     wanted = [*ENTRY_TEXTS, *(c for c in children if c != COSTS), *((COSTS, CATEGORIES) if COSTS in children else ())]
     all_entries, other = each(f"v.`{ENTRIES}`", wanted), each(f"v.`{OTHER_ENTRIES}`", wanted)
@@ -84,7 +86,7 @@ def voucher_table(v: DataFrame) -> DataFrame:
 
 def entry_table(v: DataFrame) -> DataFrame:
     """voucher_guid, entry_index (from 0, in the order of the body) and the entry's texts."""
-    return v.selectExpr("inline(transform(entries, (e, i) -> struct(voucher_guid, cast(i as bigint) as entry_index, e.ledger_name, e.amount, e.is_deemed_positive)))")
+    return v.selectExpr("inline_outer(transform(entries, (e, i) -> struct(voucher_guid, cast(i as bigint) as entry_index, e.ledger_name, e.amount, e.is_deemed_positive)))").filter("voucher_guid is not null")
 
 
 def child_table(v: DataFrame, kind: str, columns: dict[str, str]) -> DataFrame:
@@ -95,4 +97,4 @@ def child_table(v: DataFrame, kind: str, columns: dict[str, str]) -> DataFrame:
     picked = ", ".join(f"c.{f} as {n}" for f, n in columns.items())
     flat = f"flatten(transform(entries, (e, i) -> transform(e.{kind}, c -> struct(cast(i as bigint) as entry_index, e.ledger_name as ledger_name, {picked}))))"
     names = ", ".join(f"x.{n}" for n in ("entry_index", "ledger_name", *columns.values()))
-    return v.selectExpr(f"inline(transform({flat}, (x, i) -> struct(voucher_guid, cast(i as bigint) as line_index, {names})))")
+    return v.selectExpr(f"inline_outer(transform({flat}, (x, i) -> struct(voucher_guid, cast(i as bigint) as line_index, {names})))").filter("voucher_guid is not null")
