@@ -60,21 +60,31 @@ def _entries(v: DataFrame) -> DataFrame:
     return v.withColumn("used", preferred("entries", "legacy_entries")).drop("entries", "legacy_entries", "items", "legacy_items")
 
 
+def _unnested(v: DataFrame, keys: list, array: Column, name: str) -> DataFrame:
+    """One row an element of ``array``, with its place as line_index.
+
+    The outer form, whose row for an empty array is dropped: for the inner one
+    the optimizer infers a filter on the array's size and computes it twice.
+    """
+    return v.select(*keys, F.posexplode_outer(array).alias("line_index", name)).filter("line_index is not null")
+
+
 def flat(v: DataFrame) -> DataFrame:
     """One row a ledger line with all header columns: the vouchers dataset, and the day book."""
     full = _entries(v).withColumn("is_deleted", F.lit(False)).withColumn("source_status", S.lifecycle(F.col("is_cancelled"), F.col("is_optional"))).withColumn("source_last_seen_at", F.col("seen_at"))
-    lines = full.select(*HEADER, F.posexplode("used").alias("line_index", "e"))
+    lines = _unnested(full, HEADER, F.col("used"), "e")
     return lines.select(*HEADER, F.col("line_index").cast("long").alias("line_index"), "e.ledger_name", "e.amount", "e.is_deemed_positive")
 
 
 def lines(v: DataFrame) -> DataFrame:
-    out = _entries(v).select("guid", "voucher_date", "voucher_number", F.posexplode("used").alias("line_index", "e"))
+    out = _unnested(_entries(v), ["guid", "voucher_date", "voucher_number"], F.col("used"), "e")
     return out.select(F.col("guid").alias("voucher_guid"), F.lit("ledger").alias("entry_type"), F.col("line_index").cast("long").alias("line_index"), "voucher_date", "voucher_number", "e.ledger_name", "e.amount", "e.is_deemed_positive")
 
 
 def _children(v: DataFrame, array: Column, kind: str, columns: list[str]) -> DataFrame:
     """Numbers the children of a voucher through all its lines, from 0."""
-    out = _entries(v).select(F.col("guid").alias("voucher_guid"), F.lit(kind).alias("entry_type"), "voucher_date", "voucher_number", "voucher_type", F.posexplode(array).alias("line_index", "c"))
+    keys = [F.col("guid").alias("voucher_guid"), F.lit(kind).alias("entry_type"), "voucher_date", "voucher_number", "voucher_type"]
+    out = _unnested(_entries(v), keys, array, "c")
     return out.select("voucher_guid", "entry_type", F.col("line_index").cast("long").alias("line_index"), "voucher_date", *columns)
 
 
@@ -108,7 +118,8 @@ def cost_centre_allocations(v: DataFrame) -> DataFrame:
 def inventory_entries(v: DataFrame) -> DataFrame:
     """Items with a blank name are left out before numbering; the godown is the first named by a batch, else the item's own."""
     items = F.filter(F.coalesce(preferred("items", "legacy_items"), F.array()), lambda i: S.text(i["stock_item"]) != "")
-    out = v.select(F.col("guid").alias("voucher_guid"), F.lit("inventory").alias("entry_type"), "voucher_date", "voucher_number", "voucher_type", F.posexplode(items).alias("line_index", "i"))
+    keys = [F.col("guid").alias("voucher_guid"), F.lit("inventory").alias("entry_type"), "voucher_date", "voucher_number", "voucher_type"]
+    out = _unnested(v, keys, items, "i")
     first_batch = F.try_element_at(F.filter(F.coalesce("i.batches", F.array()), lambda b: S.text(b) != ""), F.lit(1))
     return out.select("voucher_guid", "entry_type", F.col("line_index").cast("long").alias("line_index"), "voucher_date", "voucher_number", "i.stock_item", "i.quantity", "i.rate", "i.amount", S.first_text(first_batch, F.col("i.godown")).alias("godown"), "voucher_type")
 
@@ -120,7 +131,7 @@ def invoice_lines(v: DataFrame) -> DataFrame:
 
 def bank_book(v: DataFrame, banks: DataFrame) -> DataFrame:
     """Lines on ledgers of ``banks`` (column ledger_name, exact case); positive amounts are debits."""
-    out = _entries(v).select("voucher_date", "voucher_type", "voucher_number", "party_name", "narration", "guid", F.posexplode("used").alias("at", "e"))
+    out = _unnested(_entries(v), ["voucher_date", "voucher_type", "voucher_number", "party_name", "narration", "guid"], F.col("used"), "e")
     rows = out.select("*", F.col("e.ledger_name").alias("ledger_name")).withColumn("bank", F.try_element_at("e.banks", F.lit(1)))
     mine = lookup_join(rows, banks.select("ledger_name").distinct(), ["ledger_name"], "left_semi", salt_by="guid")
     amount = F.col("e.amount")
