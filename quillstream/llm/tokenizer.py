@@ -16,7 +16,6 @@ from __future__ import annotations
 import base64
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -110,12 +109,12 @@ class Encoder:
 
         self.tables, self.length = tables, [len(t) for t in tables.tokens]
         self.automaton = ahocorasick.Automaton()
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
         for i, t in enumerate(tables.tokens):
             if tables.reachable[i]:
                 self.automaton.add_word(t.decode("latin-1"), i)
                 try:
-                    self.known[t.decode()] = (i,)
+                    self.known[t.decode()] = array("i", (i,)).tobytes()
                 except UnicodeDecodeError:
                     pass
         self.automaton.make_automaton()
@@ -137,18 +136,15 @@ class Encoder:
 
     def encode(self, text: str | None) -> Iterator[int]:
         """The ids of a text; none for a null or empty one."""
-        return chain.from_iterable(self._by_piece(text))
+        return iter(array("i", self.packed(text)))
 
-    def count(self, text: str | None) -> int:
-        """The number of ids of a text."""
-        return sum(map(len, self._by_piece(text)))
-
-    def _by_piece(self, text: str | None) -> Iterator[tuple[int, ...]]:
+    def packed(self, text: str | None) -> bytes:
+        """The ids as four bytes each, joined from those of the pieces."""
         if not text:
-            return iter(())
+            return b""
         if len(self.pieces) > CACHE:
             self.pieces = _Pieces(self)
-        return map(self.pieces.__getitem__, self.cut(text))
+        return b"".join(map(self.pieces.__getitem__, self.cut(text)))
 
     def decode(self, ids: list[int]) -> str:
         offsets, blob = self.offsets, self.blob
@@ -191,14 +187,14 @@ class Encoder:
 
 
 class _Pieces(dict):
-    """Remembers the ids of pieces; starts from those that are tokens."""
+    """Remembers the packed ids of pieces; starts from those that are tokens."""
 
     def __init__(self, encoder: Encoder):
         super().__init__(encoder.known)
         self.encoder = encoder
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = self.encoder.piece(piece)
+    def __missing__(self, piece: str) -> bytes:
+        ids = array("i", self.encoder.piece(piece)).tobytes()
         if len(piece) <= CACHED_BYTES:
             self[piece] = ids
         return ids
@@ -237,18 +233,18 @@ def _encoded(df: DataFrame, id_columns: list[str], text: str, path: str, counts:
         for batch in batches:
             texts = batch.column(len(id_columns))
             if counts:
-                sizes = pa.array([encoder.count(t.as_py()) for t in texts], pa.int64())
+                sizes = pa.array([len(encoder.packed(t.as_py())) // 4 for t in texts], pa.int64())
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(id_columns)], sizes], names=[*id_columns, "n_tokens"])
                 continue
-            start, ends, flat = 0, [0], array("i")
+            start, ends, packed = 0, [0], []
             for k in range(len(texts)):
-                flat.extend(encoder.encode(texts[k].as_py()))
-                ends.append(len(flat))
-                if len(flat) > BATCH_TOKENS or k + 1 == len(texts):
-                    ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, dtype="int32")))
+                packed.append(encoder.packed(texts[k].as_py()))
+                ends.append(ends[-1] + len(packed[-1]) // 4)
+                if ends[-1] > BATCH_TOKENS or k + 1 == len(texts):
+                    ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), dtype="int32")))
                     keys = [batch.column(c).slice(start, k + 1 - start) for c in range(len(id_columns))]
                     yield pa.RecordBatch.from_arrays([*keys, ids], names=[*id_columns, "ids"])
-                    start, ends, flat = k + 1, [0], array("i")
+                    start, ends, packed = k + 1, [0], []
 
     return picked.mapInArrow(run, schema)
 
