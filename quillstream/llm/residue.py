@@ -294,7 +294,7 @@ def _mined(batches: Iterator[pd.DataFrame], text: str, finish) -> Iterator[pd.Da
 
 def _first_pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def finish(part: str, texts: list[str], templates: list[str]) -> pd.DataFrame:
-        own = [own_verdict(u, t) for u, t in zip(texts, templates)]
+        own = [own_verdict(u) for u in texts]
         return pd.DataFrame({"leaf": part.split("\u0001", 1)[1], "unit": texts, "first": templates, "own": own})
 
     yield from _joined(_mined(batches, "unit", finish))
@@ -308,11 +308,12 @@ def _second_pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield from _joined(_mined(batches, "first", finish))
 
 
-def own_verdict(unit: str, template: str) -> str | None:
-    """What the verdict on its template can't say of a unit: a slot it leaves open, or what stands where the template has wildcards."""
-    if SLOT in unit or VOID in unit:
-        return verdict(unit)
-    if WILD in template and (_STEM.search(unit) or is_filler_words(unit)):
+def own_verdict(unit: str) -> str | None:
+    """What the verdict on its template may not say of a unit: a slot it leaves open, or what stands where either pass puts wildcards.
+
+    Which positions become wildcards is known only after the second pass, so every unit that may get a verdict is judged.
+    """
+    if SLOT in unit or VOID in unit or _STEM.search(unit) or is_filler_words(unit):
         return verdict(unit)
     return None
 
@@ -352,8 +353,8 @@ def residue(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
     """doc_id and kind (slot, filler, error or scripts), a row for each mail and kind it shows.
 
     The verdicts on templates go to their units and from those to the mails. Of
-    units with an ordinary template those are added that leave a slot open, or
-    say in place of the template's wildcards what gives a verdict.
+    units with an ordinary template those are added that get a verdict by
+    themselves: a slot left open, or words in place of the template's wildcards.
     Copies of a case are cases; null and empty texts are none. Ids may repeat.
     """
     units = stored(unit_rows(documents, doc_id, text), "units")

@@ -111,6 +111,15 @@ def test_wildcards_hide_nothing(spark):
     assert {r.doc_id for r in Z.residue(df, "doc_id", "text").collect()} == {i for i, t in rows if _direct(t)} >= {10, 11, 12, 13}
 
 
+@pytest.mark.parametrize("task_units", [1, 200_000])
+def test_units_of_a_leaf_in_several_parts_are_judged(spark, monkeypatch, task_units):
+    """Units that only the second pass puts into one template, their telling words behind its wildcard."""
+    rows = [(n, _mail("Hi", f"{t}\n")) for n, t in enumerate(["To be completed.", "To be confirmed.", "to be honest", "to be sure", "to be fair"])]
+    monkeypatch.setattr(Z, "TASK_UNITS", task_units)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in Z.residue(df, "doc_id", "text").collect()} == {i for i, t in rows if _direct(t)} == {0, 1}
+
+
 def test_templates(documents):
     rows = Z.template_report(documents, "doc_id", "text").collect()
     assert any(Z.WILD in r.template and r.units > 1 for r in rows)
