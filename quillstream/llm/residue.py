@@ -36,10 +36,13 @@ DEPTH = 2
 SIMILAR = 0.6
 #: Distinct units that one task mines, about: the leaves are split by as many salts as that takes.
 TASK_UNITS = 200_000
-#: Words that a unit may have, and letters that a word may have; longer sentences and words are cut into several.
+#: Words that a unit may have, and letters that a word may have; longer sentences and words are cut into several,
+#: each of which begins in the middle of the one before, so that what is no longer than half of one lies whole in one.
 UNIT_WORDS, WORD_LETTERS = 60, 400
 
 SLOT, VOID, NUMBER, REPEAT = "<slot>", "<void>", "<num>", "<repeat>"
+#: Where a sentence goes on before or after a unit: no pattern takes it for the sentence's start or end.
+CUT = "<cut>"
 
 _NAME = r"[A-Za-z_][\w.:-]*(?: [A-Za-z_][\w.:-]*){0,3}"
 # The marks around a field's name in common template languages and letter forms.
@@ -140,9 +143,9 @@ _NUMBERS = re.compile(r"\d+(?:[.,:/-]\d+)*")
 _DIGIT = re.compile(r"\d")
 
 
-def masked(unit: str) -> str:
-    """The unit with its variable parts masked, in lower case."""
-    t = unit
+def _open(text: str) -> str:
+    """The text with its slots and void values masked."""
+    t = text
     if _OBJECT in t:
         t = t.replace(_OBJECT, f" {SLOT} ")
     if _MARKS.search(t):
@@ -150,6 +153,12 @@ def masked(unit: str) -> str:
         t = _BRACKETED.sub(f" {SLOT} ", t)
     if _VOID_HINT.search(t):
         t = _VOIDS.sub(f" {VOID} ", t)
+    return t
+
+
+def masked(unit: str) -> str:
+    """The unit with its variable parts masked, in lower case."""
+    t = _open(unit)
     if "://" in t:
         t = _URL.sub("<url>", t)
     if "@" in t:
@@ -179,12 +188,25 @@ def sentences(lines: list[str]) -> list[str]:
             continue
         if paragraph:
             for s in _ENDS.split(" ".join(paragraph)):
-                words = [w[k : k + WORD_LETTERS] for w in s.split() for k in range(0, len(w), WORD_LETTERS)]
-                out += [" ".join(words[k : k + UNIT_WORDS]) for k in range(0, len(words), UNIT_WORDS)]
+                words = s.split()
+                if len(words) > UNIT_WORDS or len(s) > WORD_LETTERS and max(map(len, words), default=0) > WORD_LETTERS:
+                    out += _windows(s)
+                elif words:
+                    out.append(" ".join(words))
             paragraph = []
     return out
 
 
+def _windows(sentence: str) -> list[str]:
+    """The units of a long sentence, overlapping by half; slots and void values are masked before it is cut."""
+    whole = _open(sentence).split()
+    words = [w[k : k + WORD_LETTERS] for w in whole for k in range(0, len(w), WORD_LETTERS)]
+    starts = range(0, max(len(words) - UNIT_WORDS // 2, 1), UNIT_WORDS // 2)
+    out = [" ".join([CUT] * (k > 0) + words[k : k + UNIT_WORDS] + [CUT] * (k + UNIT_WORDS < len(words))) for k in starts]
+    # and what lies over the cuts within a word
+    return out + [f"{CUT} {w[k : k + WORD_LETTERS]} {CUT}" for w in whole for k in range(WORD_LETTERS // 2, len(w) - WORD_LETTERS // 2, WORD_LETTERS)]
+
+
 def open_slot(unit: str) -> bool:
     """Does a masked unit show a slot or a void value where it uses them, rather than speaks of them?"""
     return (SLOT in unit or VOID in unit and _void_used(unit)) and not _TALK.search(unit)

@@ -65,6 +65,24 @@ def test_speech(subject, body):
     assert not _direct(_mail(subject, body)) and not _direct(_mail(subject, body, "base64"))
 
 
+@pytest.mark.parametrize("sign", ["{{ first_name }}", "[insert order total here]", "the requested URL", "please enable JavaScript", "Hello undefined"])
+@pytest.mark.parametrize("before", range(56, 62))
+def test_signs_over_the_cuts_of_long_sentences(sign, before):
+    line = " ".join([*["the", "list", "of", "goods", "and"] * 12, "to"][:before] + [sign] + ["is", "in", "store"] * 25)
+    assert _direct(_mail("Hi", line + "\n")) and not _direct(_mail("Hi", line.replace(sign, "ordinary") + "\n"))
+
+
+@pytest.mark.parametrize("sign", ["{{first_name}}", "JavaScriptを有効"])
+def test_signs_over_the_cuts_of_long_words(sign):
+    for before in range(Z.WORD_LETTERS - len(sign) - 1, Z.WORD_LETTERS + 1):
+        assert _direct(_mail("Hi", "文" * before + sign + "字" * 500 + "\n")), before
+
+
+def test_cuts_are_no_ends_of_sentences():
+    line = " ".join(["the", "list", "of", "goods", "and"] * 6 + ["error: x"] + ["is", "in", "store"] * 25)
+    assert not _direct(_mail("Hi", line + "\n"))
+
+
 def test_reading_parts():
     body = (
         "Subject: =?utf-8?B?w6k=?= =?utf-8?q?_x?=\nContent-Type: multipart/mixed; boundary=\"b\"\n\n--b\nContent-Type: multipart/alternative; boundary=c\n\n--c\nContent-Type: text/plain\nContent-Transfer-Encoding: quoted-printable\n\none=20=C3=A9=\n two\n--c\n"
