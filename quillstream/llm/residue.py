@@ -73,8 +73,14 @@ _TALK = re.compile(
     re.I,
 )
 
-_TODAY = r"(?:yesterday|today|this morning|last (?:week|night|month|monday|tuesday|wednesday|thursday|friday)|twice|gestern|heute|hier (?:soir|matin)|ayer|ontem|hoje)"
-_PERSONAL = re.compile(rf"\b(?:I|I'd|I've|I'll|ich|je|j'ai|eu|yo)\b|\b{_TODAY}\b|\b(?:driver|register|auditors|demo machine|bank's|gateway at|desk)\b|Schulungsrechner|Vorführung|l'équipe|\bya lo han\b|昨日|今朝|कल\b", re.I)
+# When something happened to a person, or is planned: times of the past, and days of the week.
+_WHEN = r"yesterday|this morning|last (?:week|night|month)|(?:last|next|on) (?:monday|tuesday|wednesday|thursday|friday)|twice|gestern|am (?:montag|dienstag|mittwoch|donnerstag|freitag)|hier (?:soir|matin)|ayer|ontem"
+# Pronouns keep their case (see _PRONOUNS_LARGE) and are whole words: neither I/O nor eu-west-1.
+_PERSONAL = re.compile(rf"(?<![\w/.-])(?:I|[Ii]ch|[Jj]e|[Jj]['’]ai|[Ee]u|[Yy]o)(?![\w/-])|\b(?:{_WHEN})\b|\bya lo han\b|昨日|今朝|कल\b")
+# Words that masking leaves large: the English pronoun, and what is no pronoun when it is written large.
+_PRONOUNS_LARGE = re.compile(r"(?<![\w/.-])(I|ICH|JE|EU|YO)(?![\w/-])")
+# How program output begins, whatever words follow.
+_PROGRAM = re.compile(r"^(?:<\w+>|\W)*(?:\w+ )?(?:traceback \(most recent call last\)|fatal error: |uncaught \w|unhandled exception\b|sqlstate ?\[|\w+(?:error|exception): \S|segmentation fault)|^\W*file \"[^\"]+\", line\b|^\W*at [\w$]+(?:\.[\w$]+)+\s?\(", re.I)
 
 # What pages say that want scripts.
 _SCRIPTS = re.compile(
@@ -157,7 +163,7 @@ def _open(text: str) -> str:
 
 
 def masked(unit: str) -> str:
-    """The unit with its variable parts masked, in lower case."""
+    """The unit with its variable parts masked, in lower case but for pronouns."""
     t = _open(unit)
     if "://" in t:
         t = _URL.sub("<url>", t)
@@ -165,7 +171,10 @@ def masked(unit: str) -> str:
         t = _MAIL.sub("<mail>", t)
     if _DIGIT.search(t):
         t = _NUMBERS.sub(NUMBER, _STATUS.sub("<status>", t))
-    return " ".join(t.split()).lower()
+    t = " ".join(t.split())
+    if _PRONOUNS_LARGE.search(t):
+        return "".join(p if k % 2 else p.lower() for k, p in enumerate(_PRONOUNS_LARGE.split(t)))
+    return t.lower()
 
 
 def subject_unit(subject: str) -> str:
@@ -230,7 +239,7 @@ def verdict(template: str) -> str | None:
     spoken = bool(_PERSONAL.search(template)) or '"<status>' in template
     if _SCRIPTS.search(template) and not spoken:
         return "scripts"
-    if _ERRORS.search(template) and not spoken:
+    if _ERRORS.search(template) and (not spoken or _PROGRAM.search(template)):
         return "error"
     if (_FILLER.search(template) or is_filler_words(template)) and not spoken and not _TALK.search(template):
         return "filler"

@@ -65,6 +65,22 @@ def test_speech(subject, body):
     assert not _direct(_mail(subject, body)) and not _direct(_mail(subject, body, "base64"))
 
 
+@pytest.mark.parametrize(
+    "line",
+    [
+        "Fatal error: Uncaught PDOException: could not find driver", "SQLSTATE[IM002] [unixODBC] ODBC driver not found", "IOException: I/O failure", "Error: bucket in eu-west-1 is gone", "Error: EU region is closed",
+        "Service unavailable, please contact the service desk", "503 Service Unavailable, please register again", "Too many requests from your network today", "PHP Fatal error: Uncaught Error: I yesterday",
+    ],
+)
+def test_words_of_program_output_are_no_speech(line):
+    assert _direct(_mail("Hi", line + "\n")) == {"error"}
+
+
+@pytest.mark.parametrize("line", ["Fehler 404, ich sehe ihn auch", "So I see: service unavailable, something went wrong, oops something went wrong", "Eu vi o erro interno do servidor", "Auf dem Rechner bitte JavaScript aktivieren, sonst klappt es am Montag nicht"])
+def test_a_person_speaks(line):
+    assert not _direct(_mail("Hi", line + "\n"))
+
+
 @pytest.mark.parametrize("sign", ["{{ first_name }}", "[insert order total here]", "the requested URL", "please enable JavaScript", "Hello undefined"])
 @pytest.mark.parametrize("before", range(56, 62))
 def test_signs_over_the_cuts_of_long_sentences(sign, before):
