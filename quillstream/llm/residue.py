@@ -45,14 +45,15 @@ SLOT, VOID, NUMBER, REPEAT = "<slot>", "<void>", "<num>", "<repeat>"
 CUT = "<cut>"
 
 _NAME = r"[A-Za-z_][\w.:-]*(?: [A-Za-z_][\w.:-]*){0,3}"
-# The marks around a field's name in common template languages and letter forms.
+# The marks around a field's name in common template languages and letter forms. Between « and » or << and
+# >> only short texts are slots, since they are quotation marks too.
 _SLOTS = re.compile(
     "|".join(
         [
-            r"\{\{[^{}\n]{1,80}\}\}", r"\{%[^%\n]{1,80}%\}(?:\s*\{%[^%\n]{1,80}%\})*", r"<%=?[^%\n]{1,80}%>", r"\$\{[^{}\n]{1,60}\}", r"\$\([A-Za-z_][\w.]{1,60}\)", r"%%[A-Za-z_][\w.]{0,60}%%", r"%[A-Za-z_][\w.]{1,60}%",
-            r"@@[A-Za-z_][\w.]{0,60}@@", r"\[\[[^\[\]\n]{2,60}\]\]", r"\{![^{}\n]{1,60}\}", r"\*\|[^|\n]{1,60}\|\*", r"#[A-Za-z_][A-Za-z_.]{2,60}#", r"(?<!\w)__[A-Za-z][A-Za-z_.]{0,60}?__(?!\w)", r"«[^«»\n]{1,60}»",
-            r"<<[^<>\n]{1,60}>>", r"<(?:enter|insert|add|your|type|fill in|indicar|insertar|introduzca|ins[ée]rer|votre|hier|ihr|inserir|seu|nome)\b[^<>\n]{1,60}>",
-            r"\[(?:your|insert|enter|add|type|fill in|indicar|insertar|introduzca|su|ins[ée]rer|indiquer|votre|hier|ihr|ihre|bitte|inserir|preencher|seu|sua)\b[^\[\]\n]{1,60}\]", r"\[[^\[\]\n]{1,60}(?:\bhere|\baquí|\baqui|\bici|\beintragen|\beinfügen|を入力|यहाँ\S*|लिखें|डालें)\]",
+            r"\{\{[^{}\n]{1,400}\}\}", r"\{%[^%\n]{1,400}%\}(?:\s*\{%[^%\n]{1,400}%\})*", r"<%=?[^%\n]{1,400}%>", r"\$\{[^{}\n]{1,400}\}", r"\$\([A-Za-z_][\w.]{1,60}\)", r"%%[A-Za-z_][\w.]{0,60}%%", r"%[A-Za-z_][\w.]{1,60}%",
+            r"@@[A-Za-z_][\w.]{0,60}@@", r"\[\[[^\[\]\n]{2,400}\]\]", r"\{![^{}\n]{1,400}\}", r"\*\|[^|\n]{1,400}\|\*", r"#[A-Za-z_][A-Za-z_.]{2,60}#", r"(?<!\w)__[A-Za-z][A-Za-z_.]{0,60}?__(?!\w)", r"«[^«»\n]{1,60}»",
+            r"<<[^<>\n]{1,60}>>", r"<(?:enter|insert|add|your|type|fill in|indicar|insertar|introduzca|ins[ée]rer|votre|hier|ihr|inserir|seu|nome)\b[^<>\n]{1,400}>",
+            r"\[(?:your|insert|enter|add|type|fill in|indicar|insertar|introduzca|su|ins[ée]rer|indiquer|votre|hier|ihr|ihre|bitte|inserir|preencher|seu|sua)\b[^\[\]\n]{1,400}\]", r"\[[^\[\]\n]{1,400}(?:\bhere|\baquí|\baqui|\bici|\beintragen|\beinfügen|を入力|यहाँ\S*|लिखें|डालें)\]",
             r"(?<![\w\\}])\{[A-Za-z_][\w.]{1,60}\}",
         ]
     ),

@@ -81,6 +81,12 @@ def test_a_person_speaks(line):
     assert not _direct(_mail("Hi", line + "\n"))
 
 
+@pytest.mark.parametrize("slot", ["[Insert a short summary of the outstanding balance and the date on which it is due here]", "{% if customer.balance > 0 and customer.country == 'DE' and customer.language == 'de' and due %}", "{{ customer.first_name | default: customer.company | default: customer.contact | capitalize | strip }}"])
+def test_long_slots(slot):
+    assert len(slot) > 84 and _direct(_mail("Hi", f"Dear all, {slot} is yours.\n")) == {"slot"}
+    assert not _direct(_mail("Hi", "Elle a dit « " + "bonjour à tous " * 8 + "» hier soir.\n"))
+
+
 @pytest.mark.parametrize("sign", ["{{ first_name }}", "[insert order total here]", "the requested URL", "please enable JavaScript", "Hello undefined"])
 @pytest.mark.parametrize("before", range(56, 62))
 def test_signs_over_the_cuts_of_long_sentences(sign, before):
