@@ -118,35 +118,59 @@ def html_text(markup: str) -> str:
     return html.unescape(_TAG.sub("", _BREAK.sub("\n", _without_hidden(markup))))
 
 
-def _parts(headers: dict[str, str], body: str, depth: int = 0) -> tuple[list[str], list[str]]:
-    """The plain and the HTML texts of a mail that are no attachments."""
-    kind = headers.get("content-type", "text/plain")
-    if headers.get("content-disposition", "").lower().lstrip().startswith("attachment"):
-        return [], []
-    low = kind.lower()
-    if low.lstrip().startswith("multipart/") and depth < 8:
-        m = _BOUNDARY.search(kind)
-        if m and (mark := "--" + (m.group(1) or m.group(2) or "")) != "--":
-            plain: list[str] = []
-            marked: list[str] = []
-            chunks = re.split(rf"^{re.escape(mark)}(?:--)?[ \t]*$", body, flags=re.M)
-            for chunk in chunks[1:]:
-                if not chunk.strip():
-                    continue
-                part = chunk.removeprefix("\n")
-                p, h = ([part], []) if part.startswith("\n") else _parts(*split_headers(part), depth + 1)
-                if low.lstrip().startswith("multipart/alternative"):
-                    plain, marked = plain or p, marked or h
-                else:
-                    plain, marked = plain + p + ([] if p else h), marked + h
-            return plain, marked
-    if not low.lstrip().startswith("text/"):
+def _is(headers: dict[str, str], kind: str) -> bool:
+    return headers.get("content-type", "text/plain").lower().lstrip().startswith(kind)
+
+
+def _attached(headers: dict[str, str]) -> bool:
+    return headers.get("content-disposition", "").lower().lstrip().startswith("attachment")
+
+
+def _inner(headers: dict[str, str], body: str) -> list[tuple[dict[str, str], str]] | None:
+    """Headers and body of each part of a multipart; None for what has no parts, or no boundary that tells them apart."""
+    if _attached(headers) or not _is(headers, "multipart/"):
+        return None
+    m = _BOUNDARY.search(headers["content-type"])
+    if not m or (mark := "--" + (m.group(1) or m.group(2) or "")) == "--":
+        return None
+    chunks = re.split(rf"^{re.escape(mark)}(?:--)?[ \t]*$", body, flags=re.M)
+    parts = [c.removeprefix("\n") for c in chunks[1:] if c.strip()]
+    return [({}, p) if p.startswith("\n") else split_headers(p) for p in parts] if len(chunks) > 1 else None
+
+
+def _texts(headers: dict[str, str], body: str) -> tuple[list[str], list[str]]:
+    """The plain and the HTML text of what has no parts; a multipart without them is plain text."""
+    if _attached(headers) or not (_is(headers, "text/") or _is(headers, "multipart/")):
         return [], []
-    charset = m.group(1) if (m := _CHARSET.search(kind)) else None
+    charset = m.group(1) if (m := _CHARSET.search(headers.get("content-type", ""))) else None
     text = _decoded(body, headers.get("content-transfer-encoding", ""), charset)
-    if low.lstrip().startswith("text/html"):
-        return [], [html_text(text)]
-    return [text], []
+    return ([], [html_text(text)]) if _is(headers, "text/html") else ([text], [])
+
+
+def _parts(headers: dict[str, str], body: str) -> tuple[list[str], list[str]]:
+    """The plain and the HTML texts of a mail that are no attachments, however deep its parts are nested."""
+    # of each multipart that is open: is it a choice of alternatives, its parts to come, its texts so far
+    stack = [(True, iter([(headers, body)]), [], [])]
+    while True:
+        choice, parts, plain, marked = stack[-1]
+        part = next(parts, None)
+        if part is not None:
+            if (inner := _inner(*part)) is not None:
+                stack.append((_is(part[0], "multipart/alternative"), iter(inner), [], []))
+                continue
+            p, h = _texts(*part)
+        else:
+            stack.pop()
+            if not stack:
+                return plain, marked
+            p, h = plain, marked
+            choice, _, plain, marked = stack[-1]
+        if choice:
+            plain += [] if plain else p
+            marked += [] if marked else h
+        else:
+            plain += p or h
+            marked += h
 
 
 def own_lines(text: str) -> list[str]:

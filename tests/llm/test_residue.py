@@ -115,6 +115,17 @@ def test_reading_parts():
     assert [x for x in mime.read(page)[1] if x.strip()] == ["Hello <enter name>,", "bye"]
 
 
+@pytest.mark.parametrize("depth", [1, 9, 200])
+def test_reading_nested_parts(depth):
+    opened = "".join(f"Content-Type: multipart/mixed; boundary=b{n}\n\n--b{n}\n" for n in range(depth))
+    assert "Dear {{name}}," in mime.read(f"Subject: s\n{opened}Content-Type: text/plain\n\nDear {{{{name}}}},\n" + "".join(f"--b{n}--\n" for n in reversed(range(depth))))[1]
+
+
+@pytest.mark.parametrize("kind", ["multipart/mixed", 'multipart/alternative; boundary=""', "multipart/mixed; boundary=elsewhere"])
+def test_reading_multiparts_without_boundary(kind):
+    assert "Dear {{name}}," in mime.read(f"Subject: s\nContent-Type: {kind}\n\nDear {{{{name}}}},\n")[1]
+
+
 @pytest.mark.parametrize("text", [None, "", " \n\t", "no headers at all", "Subject:", "\n\n\n", "Content-Type: multipart/mixed; boundary=\"x\"\n\n--x", "Content-Transfer-Encoding: base64\n\n!!!!"])
 def test_reading_never_fails(text):
     subject, lines = mime.read(text)
