@@ -143,3 +143,11 @@ def test_every_dataset_has_a_schema(spark):
     for name, df in out.items():
         assert sorted(df.columns) == sorted(schemas.schema(name).names), name
         assert schemas.conformed(df, name).schema.simpleString() == schemas.schema(name).simpleString()
+
+
+def test_pair_walk_reads_all_nations(spark, data):
+    import __spark_entry__ as e
+
+    nations = {r.c_nationkey for r in spark.read.parquet(f"{data}/customer.parquet").filter("c_custkey % 5 <> 0").select("c_nationkey").distinct().collect()}
+    assert {r.report for r in e.queries()["report_pair_walk_whole"](spark, data).select("report").distinct().collect()} == nations
+    assert max(nations) >= 20
