@@ -50,15 +50,17 @@ def mix(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None, s
     table or no usable target gives no rows.
     """
     filled = sizes.filter("n_tokens > 0")
-    per_source = filled.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")).join(targets, "source")
+    per_source = filled.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs"), F.max("n_tokens").alias("longest")).join(targets, "source")
     # one row of totals, whatever the number of sources
-    total = per_source.agg(F.sum("target_share").alias("weight"), F.min(F.col("tokens") * F.col("max_repeats") / F.col("target_share")).alias("room"), F.max("docs").alias("docs"), F.sum(F.col("docs") * F.col("max_repeats")).alias("rows")).first()
+    total = per_source.agg(F.sum("target_share").alias("weight"), F.min(F.col("tokens") * F.col("max_repeats") / F.col("target_share")).alias("room"), F.max("docs").alias("docs"), F.sum(F.col("docs") * F.col("max_repeats")).alias("rows"), F.max(F.col("longest") / F.col("target_share")).alias("lag")).first()
     weight, budget = total["weight"] or 1.0, total_tokens if total_tokens is not None else int((total["room"] or 0) * (total["weight"] or 1.0))
     bits = (int(total["docs"] or 1) // BUCKET_ROWS).bit_length()
     slices = max(1, int(total["rows"] or 0) // BUCKET_ROWS)
 
-    # no source needs more copies than fill the whole budget's share (all of them if others may run out)
-    need = F.ceil(F.lit(float(budget)) * F.col("target_share") / weight / F.col("tokens")) if total_tokens is None else F.col("max_repeats")
+    # a source lags behind its share by less than one document: at this time each has given its share of the budget
+    until = budget + (total["lag"] or 0.0) * weight
+    # no source needs more copies than last until then (all of them if others may run out)
+    need = F.ceil(F.lit(float(until)) * F.col("target_share") / weight / F.col("tokens")) if total_tokens is None else F.col("max_repeats")
     sources = per_source.select("source", "tokens", (F.col("target_share") / weight).alias("share"), F.least("max_repeats", need).cast("long").alias("copies"))
     copies = lookup_join(filled, sources, ["source"], salt_by="doc_id").filter("copies > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     # the top bits of the hash are the bucket, so buckets rise with it
@@ -68,8 +70,8 @@ def mix(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None, s
     done = F.col("source_tokens") + (F.col("copy_no") - 1) * F.col("tokens")
     times = queued.withColumn("finish_at", done / F.col("share"))
     if total_tokens is None:
-        # what starts after the budget is beyond the cut in any case
-        times = times.filter((done - F.col("n_tokens")) / F.col("share") <= budget)
+        # what starts later is beyond the cut in any case
+        times = times.filter((done - F.col("n_tokens")) / F.col("share") <= until)
         width = max(1.0, budget / slices)
     else:
         width = max(1.0, (total["room"] or 0) * weight / slices)

@@ -61,6 +61,13 @@ def test_every_prefix_holds_the_shares(sizes, targets):
         assert sum(r[3] for r in head if r[1] == "b") / total == pytest.approx(1 / 3, abs=0.05)
 
 
+def test_a_long_document_leaves_no_gap(spark):
+    """While one source's long document isn't finished, another goes on until the budget, which the third sets, is reached."""
+    sizes = spark.createDataFrame([(n, "a", 10) for n in range(300)] + [(1000 + n, "b", 10) for n in range(40)] + [(2000, "c", 5000)], "doc_id long, source string, n_tokens long")
+    targets = M.target_table(spark.createDataFrame([("a", 0.4, 1), ("b", 0.2, 1), ("c", 0.4, 1)], "source string, target_share double, max_repeats long"))
+    assert 1990 <= sum(r[3] for r in _collected(M.mix(sizes, targets))) <= 2000
+
+
 def test_empty(sizes, targets):
     assert _collected(M.mix(sizes.limit(0), targets)) == []
     assert _collected(M.mix(sizes, targets.limit(0))) == []
