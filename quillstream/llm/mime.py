@@ -12,6 +12,8 @@ import html
 import quopri
 import re
 
+#: The line that stands between the parts of a message.
+NEXT_PART = "\f"
 _HEADER = re.compile(r"([!-9;-~]+)[ \t]*:[ \t]*(.*)")
 _WORD = re.compile(r"=\?([^?\s]+)\?([bBqQ])\?([^?]*)\?=")
 _BETWEEN_WORDS = re.compile(r"(=\?[^?\s]+\?[bBqQ]\?[^?]*\?=)\s+(?==\?)")
@@ -197,12 +199,15 @@ def own_lines(text: str) -> list[str]:
 
 
 def read(text: str | None) -> tuple[str, list[str]]:
-    """The subject and the lines of the sender's own message of a mail."""
+    """The subject and the lines of the sender's own message of a mail, its parts parted by ``NEXT_PART``."""
     if not text or not text.strip():
         return "", []
     t = text.replace("\r\n", "\n").replace("\r", "\n")
     headers, body = split_headers(t)
     plain, marked = _parts(headers, body)
     shown = [p for p in plain if p.strip()] or marked
-    lines = [line for p in shown for line in own_lines(p.replace("\r\n", "\n").replace("\r", "\n"))]
+    lines: list[str] = []
+    for p in shown:
+        lines += [NEXT_PART] if lines else []
+        lines += own_lines(p.replace("\r\n", "\n").replace("\r", "\n"))
     return header_text(headers.get("subject", "")), lines

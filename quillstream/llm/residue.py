@@ -2,214 +2,106 @@
 
 1. Each mail is read once: subject and own message, decoded, cut into units
    (sentences of its paragraphs) in which slots, void values and variable parts
-   are masked. Units are counted over all mails before anything is shuffled.
+   are masked. Each unit carries how much the mail has to say besides.
 2. Message templates are mined from the distinct units with a prefix tree of
-   fixed depth: number of words, then the first words; within a leaf a unit
-   joins the template it shares enough positions with, and positions that
-   differ become wildcards. A hot leaf is split by salt, and the templates of
-   its parts are mined again together.
-3. Each template is classified once, and its verdict goes to all its units and
-   from them to the mails. Slots left open inside otherwise ordinary sentences
-   are found apart from that, unit by unit.
-
-A person's sentence that only speaks of placeholders, errors or scripts is told
-apart by its words: it names fields, columns, templates or machines, puts the
-thing in quotation marks, or tells who did what when.
+   fixed depth: number of words, then the first words and the places of masked
+   parts, then the telling words. Within a leaf a unit joins the template it
+   shares enough positions with, and positions that differ become wildcards,
+   which a telling word never is. Units lie in ``SALTS`` parts, whatever their
+   number, and the templates of the parts are mined again together.
+3. Each template is classified once: its exemplar is put to a grammar of
+   concepts (a thing and its failure, scripts and their state, a text and its
+   absence), and its mails give evidence: a template that mostly stands amid
+   what people have to say is speech, however it reads; one that stands in
+   place of a message is residue. A void value counts where other mails show a
+   slot in its place. Verdicts go to all units of a template and from them to
+   the mails; a mail that says more besides an error page or a notice than
+   ``AMID`` sentences cites it.
+4. Slots left open inside otherwise ordinary sentences are told by their syntax
+   alone, template by template.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm import mime
+from quillstream.llm import concepts, mime
+from quillstream.llm.concepts import BLANK, CUT, NUMBER, SLOT, VOID
 from quillstream.session import cut, lookup_join, shipped, stored
 
 #: Words of a unit that choose its leaf, after their number.
 DEPTH = 2
 #: Share of equal positions from which a unit joins a template.
 SIMILAR = 0.6
-#: Distinct units that one task mines, about: the leaves are split by as many salts as that takes.
-TASK_UNITS = 200_000
+#: Parts of each leaf that are mined apart before their templates are mined together.
+SALTS = 64
+#: Sentences in other paragraphs from which a mail is taken to say something itself.
+AMID = 2
+#: Share of a template's mails that have nothing else to say, from which an error or a notice is no speech.
+ALONE = 0.5
 #: Words that a unit may have, and letters that a word may have; longer sentences and words are cut into several,
 #: each of which begins in the middle of the one before, so that what is no longer than half of one lies whole in one.
 UNIT_WORDS, WORD_LETTERS = 60, 400
 
-SLOT, VOID, NUMBER, REPEAT = "<slot>", "<void>", "<num>", "<repeat>"
-#: Where a sentence goes on before or after a unit: no pattern takes it for the sentence's start or end.
-CUT = "<cut>"
-
-_NAME = r"[A-Za-z_][\w.:-]*(?: [A-Za-z_][\w.:-]*){0,3}"
-# The marks around a field's name in common template languages and letter forms. Between « and » or << and
-# >> only short texts are slots, since they are quotation marks too.
-_SLOTS = re.compile(
-    "|".join(
-        [
-            r"\{\{[^{}\n]{1,400}\}\}", r"\{%[^%\n]{1,400}%\}(?:\s*\{%[^%\n]{1,400}%\})*", r"<%=?[^%\n]{1,400}%>", r"\$\{[^{}\n]{1,400}\}", r"\$\([A-Za-z_][\w.]{1,60}\)", r"%%[A-Za-z_][\w.]{0,60}%%", r"%[A-Za-z_][\w.]{1,60}%",
-            r"@@[A-Za-z_][\w.]{0,60}@@", r"\[\[[^\[\]\n]{2,400}\]\]", r"\{![^{}\n]{1,400}\}", r"\*\|[^|\n]{1,400}\|\*", r"#[A-Za-z_][A-Za-z_.]{2,60}#", r"(?<!\w)__[A-Za-z][A-Za-z_.]{0,60}?__(?!\w)", r"«[^«»\n]{1,60}»",
-            r"<<[^<>\n]{1,60}>>", r"<(?:enter|insert|add|your|type|fill in|indicar|insertar|introduzca|ins[ée]rer|votre|hier|ihr|inserir|seu|nome)\b[^<>\n]{1,400}>",
-            r"\[(?:your|insert|enter|add|type|fill in|indicar|insertar|introduzca|su|ins[ée]rer|indiquer|votre|hier|ihr|ihre|bitte|inserir|preencher|seu|sua)\b[^\[\]\n]{1,400}\]", r"\[[^\[\]\n]{1,400}(?:\bhere|\baquí|\baqui|\bici|\beintragen|\beinfügen|を入力|यहाँ\S*|लिखें|डालें)\]",
-            r"(?<![\w\\}])\{[A-Za-z_][\w.]{1,60}\}",
-        ]
-    ),
-    re.I,
-)
-#: A field's name in single square brackets. At the start of a sentence or subject brackets are a tag, unless a
-#: colon follows; in small letters they are a remark, unless they name what fields are called.
-_FIELD_NAME = r"(?:[a-z]+ ){0,2}(?:name|firstname|lastname|surname|title|salutation|greeting|recipient|customer|client|company|manager|city|street|address|country|email|phone|id|no|number|date|duedate|period|month|amount|total|due|balance)(?: [a-z]+)?"
-_BRACKETED = re.compile(rf"(?<=[\w,:] )\[[A-Z][A-Za-z]*[a-z][A-Za-z]*(?: [A-Z]?[A-Za-z]+){{0,2}}\](?!\()|(?<=[\w,:] )\[{_FIELD_NAME}\]|^\[(?i:{_FIELD_NAME})\](?=\s*:)")
+WILD = "<*>"
 _ANSWER = re.compile(r"^(?:\s*(?:re|aw|fwd?|wg|tr|rv|res|enc|sv)\s*:)+\s*", re.I)
-# What programs print for a value that is not there; the first is no word of any language.
-_OBJECT = "[object Object]"
-_VOIDS = re.compile(r"(?<![\w/.-])(?:undefined|NaN|null|None)(?![\w/-])(?: (?:undefined|NaN|null|None)(?![\w/-]))*")
-
-# Words with which people speak of templates and fields rather than use them.
-_TALK = re.compile(
-    r"`|\b(?:field|column|template|mail merge|merge (?:field|run|tag)s?|placeholders? (?:in|of|for)|variable|formula|config|regex|syntax|manual|macro|exporter|does anybody|feld|felder|spalte|vorlage|serienbrief|platzhalter|formel|champ|champs|colonne|modèle|publipostage|formule|campo|campos|columna|plantilla|fórmula|coluna|modelo|mala direta)\b|テンプレート|差し込み|項目|列|フィールド|फ़ील्ड|फील्ड|टेम्पलेट|कॉलम|टेम्प्लेट",
-    re.I,
-)
-
-# When something happened to a person, or is planned: times of the past, and days of the week.
-_WHEN = r"yesterday|this morning|last (?:week|night|month)|(?:last|next|on) (?:monday|tuesday|wednesday|thursday|friday)|twice|gestern|am (?:montag|dienstag|mittwoch|donnerstag|freitag)|hier (?:soir|matin)|ayer|ontem"
-# Pronouns keep their case (see _PRONOUNS_LARGE) and are whole words: neither I/O nor eu-west-1.
-_PERSONAL = re.compile(rf"(?<![\w/.-])(?:I|[Ii]ch|[Jj]e|[Jj]['’]ai|[Ee]u|[Yy]o)(?![\w/-])|\b(?:{_WHEN})\b|\bya lo han\b|昨日|今朝|कल\b")
-# Words that masking leaves large: the English pronoun, and what is no pronoun when it is written large.
-_PRONOUNS_LARGE = re.compile(r"(?<![\w/.-])(I|ICH|JE|EU|YO)(?![\w/-])")
-# How program output begins, whatever words follow.
-_PROGRAM = re.compile(r"^(?:<\w+>|\W)*(?:\w+ )?(?:traceback \(most recent call last\)|fatal error: |uncaught \w|unhandled exception\b|sqlstate ?\[|\w+(?:error|exception): \S|segmentation fault)|^\W*file \"[^\"]+\", line\b|^\W*at [\w$]+(?:\.[\w$]+)+\s?\(", re.I)
-
-# What pages say that want scripts.
-_SCRIPTS = re.compile(
-    r"(?:enable|activate|turn on|switch on|allow|requires?|without|needs?) (?:java ?script|scripts?|scripting)\b|java ?script (?:is|must be|has to be|needs to be) |(?:java ?script|scripts?)(?: and cookies)? (?:must|have to|has to|need to) be (?:allowed|active|enabled|on)|does(?: not|n't) support (?:java ?script|scripting|scripts)|scripts? (?:is|are) (?:disabled|turned off|blocked|required)|checking your browser"
-    r"|java ?script (?:muss|ist|zu aktivieren|aktivier)|aktivieren sie (?:bitte )?java ?script|java ?script (?:einschalten|eingeschaltet)|ohne java ?script|(?:activer|activez|nécessite|sans) (?:le )?java ?script|java ?script (?:est|doit)|(?:active|activar|habilite|habilitar|requiere|sin|necesita) (?:el )?java ?script|java ?script (?:está|debe)|(?:ative|ativar|habilite|requer|exige|sem|precisa de) (?:o )?java ?script|java ?scriptを?(?:有効|オン|必要)|java ?script ?(?:を有効|が無効|が必要)|java ?script (?:सक्षम|चालू|सक्रिय|बंद|आवश्यक|ज़रूरी)",
-    re.I,
-)
-
-# What error pages and failing programs print.
-_ERRORS = re.compile(
-    r"the requested url\b|was not found on this server|problem with the resource you are looking for|you have been blocked|does not allow access from|you (?:don't|do not) have permission to (?:view|access)|^\W*reference #\S|oops!? ?something went wrong|^\W*something went wrong\W*$|could(?: not|n't) load this (?:message|page)|^\W*error code:? ?<num>|traceback \(most recent call last\)|^\W*file \"[^\"]+\", line\b|^\W*\w*(?:error|exception): \S|server error in '|object reference not set|unhandled exception|^\W*at [\w$]+(?:\.[\w$]+)+\s?\(|segmentation fault|stack trace:|fatal error:|warning: .* on line\b|sqlstate\b|too many requests from|you have been rate limited|your session has (?:expired|timed out)|sign in again to see this page|this (?:site|page) can(?:'t|not) be reached|took too long to respond|error establishing a database connection|server can(?:'t|not) take your request|\(http [45]<num>\)|page you (?:were|are) looking for|^\W*(?:page|file|document) (?:not found|unavailable)\W*$|^\W*page not found sorry\b|^\W*service (?:temporarily )?unavailable\b"
-    r"|^\W*(?:error |http )?<status>\W{0,4}(?:not found|bad gateway|internal server error|service (?:temporarily )?unavailable|forbidden|gateway time-?out|too many requests|unauthorized|bad request|gone)|^\W*(?:fehler|erreur|error|erro|エラー|त्रुटि) ?<status>\b|page introuvable|seite (?:wurde )?nicht gefunden|no se pudo mostrar la página|página (?:solicitada )?no (?:se )?encontrada|página não encontrada|não foi possível (?:exibir|mostrar) a página|ページが見つかりません|ページを表示できません|पृष्ठ नहीं मिला|पेज नहीं मिला|interner serverfehler|erreur interne du serveur|error interno del servidor|erro interno do servidor|access denied\W*$|^\W*zugriff verweigert\W*$",
-    re.I,
-)
-
-# What stands in a draft until its text is written.
-_FILLER = re.compile(
-    r"placeholder (?:copy|text)\b|body copy goes here|(?:your|the) text (?:goes )?here|type your (?:message|text) (?:here|in this)|\(insert (?:paragraph|text|content)|insert (?:your )?(?:text|content|copy) here|^\W*to be (?:completed|written|supplied|added|confirmed)\W*$|sample (?:content|text) (?:for|goes)|^\W*headline <num>\W*$|dummy text\W+dummy text|^\W*dummy text\W*$|test message,? please ignore|this is (?:only )?a (?:test|dummy) (?:message|text)|lorem ipsum (?:dolor )?sit|\bbla(?:h)?\W+bla(?:h)?\b|here comes the (?:real )?text|(?:real|final) text (?:comes )?later|click (?:here )?to (?:add|edit) (?:text|title|content)|klicken sie(?:,| hier,?)? um (?:text|titel)|cliquez pour (?:ajouter|modifier)|haga clic para (?:agregar|añadir)|clique para (?:adicionar|inserir)|escriba aquí|escreva aqui|saisissez (?:ici|votre texte)|(?:geben|schreiben) sie hier|(?:replace|overwrite|delete) this (?:paragraph|text|line|section)\b|blindtext\W+blindtext|hier steht später ihr text|ihr text hier|(?:ersetzen|überschreiben) sie diesen (?:text|absatz)|remplacez ce (?:texte|paragraphe)|(?:reemplace|sustituya) este (?:texto|párrafo)|substitua este (?:texto|parágrafo)|hier kommt ihr text|votre texte ici|texte de remplissage|texte à venir|(?:su|tu) texto aquí|texto de relleno|(?:seu|o seu) texto aqui|texto de preenchimento|ここにテキスト|ここに本文|ダミーテキスト|サンプルテキスト|यहाँ (?:अपना )?(?:पाठ|टेक्स्ट)|नमूना पाठ",
-    re.I,
-)
-# Pseudo-Latin that typesetters use, and keys hit at random.
-_LATIN = frozenset("lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore magna aliqua enim minim veniam quis nostrud ullamco laboris nisi aliquip commodo consequat".split())
-_MASH = frozenset("asdf qwer jkl sdfg asdfasdf qwerty blah bla foo bar baz test xxx".split())
-# The commonest function words of the languages in Latin script.
-_FUNCTION = frozenset(
-    "the a an of to in is it and or for on at by with we you i our your this that be are was not from as but have has been they he she will can if there all no so its do"
-    " der die das und ist nicht ein eine den dem des zu mit von für auf im am bei wir sie ich es noch aus an sind wird uns er"
-    " le la les un une et est de du des à au aux pour dans en par sur nous vous je il elle pas ce se que qui avec"
-    " el los las y es del al por con para su no se que lo una como más"
-    " o os as e do da dos das em no na um uma por com para não que ao".split()
-)
-_WORDS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-
-
-def is_filler_words(unit: str) -> bool:
-    """Pseudo-Latin, keys hit at random or one word over and over: words that say nothing.
-
-    Four words or more, none a function word, and either all of them known as
-    filler or most of them repeated; or words of one letter over and over.
-    """
-    words = [w.lower() for w in _WORDS.findall(re.sub(r"<\w+>", " ", unit))]
-    if words and max(map(len, words)) >= 5 and all(len(w) >= 2 and len(set(w)) == 1 for w in words):
-        return True
-    if len(words) >= 3 and len(set(words)) == 1 and len(words[0]) >= 3:
-        return True
-    if len(words) < 4 or any(ord(w[0]) > 0x24F for w in words):
-        return False
-    latin = sum(w in _LATIN for w in words)
-    if latin * 2 > len(words) and ("lorem" in words or "ipsum" in words or latin >= 6):
-        return True
-    if any(w in _FUNCTION for w in words):
-        return False
-    if "lorem" in words and "ipsum" in words or len(words) >= 5 and latin >= 2 and latin * 4 >= len(words):
-        return True
-    known = sum(w in _MASH or w in _LATIN for w in words)
-    distinct = len(set(words))
-    return known * 10 >= len(words) * 9 or len(words) >= 8 and distinct * 4 <= len(words) * 3 and max(map(len, words)) < 16
-
-
-_MARKS = re.compile(r"[{<%@#«*\[]|__|\$\(")
-_VOID_HINT = re.compile(r"undefined|NaN|null|None")
-_STATUS = re.compile(r"(?<![\w.])[45]\d\d(?![\w.,]\d|\w)")
-_URL = re.compile(r"[Hh][Tt][Tt][Pp][Ss]?://\S+")
-_MAIL = re.compile(r"[\w.+-]+@[\w-]+\.[\w.-]+")
-_NUMBERS = re.compile(r"\d+(?:[.,:/-]\d+)*")
-_DIGIT = re.compile(r"\d")
-
-
-def _open(text: str) -> str:
-    """The text with its slots and void values masked."""
-    t = text
-    if _OBJECT in t:
-        t = t.replace(_OBJECT, f" {SLOT} ")
-    if _MARKS.search(t):
-        t = _SLOTS.sub(f" {SLOT} ", t)
-        t = _BRACKETED.sub(f" {SLOT} ", t)
-    if _VOID_HINT.search(t):
-        t = _VOIDS.sub(f" {VOID} ", t)
-    return t
-
-
-def masked(unit: str) -> str:
-    """The unit with its variable parts masked, in lower case but for pronouns."""
-    t = _open(unit)
-    if "://" in t:
-        t = _URL.sub("<url>", t)
-    if "@" in t:
-        t = _MAIL.sub("<mail>", t)
-    if _DIGIT.search(t):
-        t = _NUMBERS.sub(NUMBER, _STATUS.sub("<status>", t))
-    t = " ".join(t.split())
-    if _PRONOUNS_LARGE.search(t):
-        return "".join(p if k % 2 else p.lower() for k, p in enumerate(_PRONOUNS_LARGE.split(t)))
-    return t.lower()
+_ENDS = re.compile(r"(?<=[.!?。।！？])[\"')\]*]*\s+|(?<=[。！？])")
+_RULE = re.compile(r"\s*(?:[*_=~-]{3,}|-- ?)\s*$")
+_CLOSED = re.compile(r"[.!?。।！？…][\"'”»)\]*\s]*$")
 
 
 def subject_unit(subject: str) -> str:
     """The subject without marks of answers, as a unit."""
-    return masked(_ANSWER.sub("", subject))
+    return concepts.masked(_ANSWER.sub("", subject))
 
 
-_ENDS = re.compile(r"(?<=[.!?。।！？])[\"')\]*]*\s+|(?<=[。！？])")
-_RULE = re.compile(r"\s*(?:[*_=~-]{3,}|-- ?)\s*$")
+def paragraphs(lines: list[str]) -> Iterator[tuple[str, bool]]:
+    """Each paragraph, and whether it stands above its part's signature or first rule.
 
-
-def sentences(lines: list[str]) -> list[str]:
-    """The sentences of the paragraphs, without the signature and what follows it."""
-    out, paragraph = [], []
+    Empty lines, rules and marks of signatures end a paragraph. What stands
+    below a signature's mark is read like the rest, but isn't what the mail has
+    to say: there stand names and disclaimers.
+    """
+    paragraph: list[str] = []
+    above = True
     for line in [*lines, ""]:
-        if line.rstrip() == "--" or line == "-- ":
-            line = "\u0000"
-        if line.strip() and line != "\u0000" and not _RULE.match(line):
+        rule = line == mime.NEXT_PART or bool(_RULE.match(line))
+        if line.strip() and not rule:
             paragraph.append(line.strip())
             continue
         if paragraph:
-            for s in _ENDS.split(" ".join(paragraph)):
-                words = s.split()
-                if len(words) > UNIT_WORDS or len(s) > WORD_LETTERS and max(map(len, words), default=0) > WORD_LETTERS:
-                    out += _windows(s)
-                elif words:
-                    out.append(" ".join(words))
+            yield " ".join(paragraph), above
             paragraph = []
+        if rule:
+            above = line == mime.NEXT_PART
+
+
+def _cut_up(paragraph: str) -> list[str]:
+    out = []
+    for s in _ENDS.split(paragraph):
+        words = s.split()
+        if len(words) > UNIT_WORDS or len(s) > WORD_LETTERS and max(map(len, words), default=0) > WORD_LETTERS:
+            out += _windows(s)
+        elif words:
+            out.append(" ".join(words))
     return out
 
 
+def sentences(lines: list[str]) -> list[str]:
+    """The sentences of all paragraphs."""
+    return [s for p, _ in paragraphs(lines) for s in _cut_up(p)]
+
+
 def _windows(sentence: str) -> list[str]:
     """The units of a long sentence, overlapping by half; slots and void values are masked before it is cut."""
-    whole = _open(sentence).split()
+    whole = concepts.opened(sentence).split()
     words = [w[k : k + WORD_LETTERS] for w in whole for k in range(0, len(w), WORD_LETTERS)]
     starts = range(0, max(len(words) - UNIT_WORDS // 2, 1), UNIT_WORDS // 2)
     out = [" ".join([CUT] * (k > 0) + words[k : k + UNIT_WORDS] + [CUT] * (k + UNIT_WORDS < len(words))) for k in starts]
@@ -217,189 +109,216 @@ def _windows(sentence: str) -> list[str]:
     return out + [f"{CUT} {w[k : k + WORD_LETTERS]} {CUT}" for w in whole for k in range(WORD_LETTERS // 2, len(w) - WORD_LETTERS // 2, WORD_LETTERS)]
 
 
-def open_slot(unit: str) -> bool:
-    """Does a masked unit show a slot or a void value where it uses them, rather than speaks of them?"""
-    return (SLOT in unit or VOID in unit and _void_used(unit)) and not _TALK.search(unit)
-
-
-# What stands before a name, a number or a date in form letters.
-_BEFORE_VALUE = re.compile(
-    r"(?:\b(?:hello|hi|dear|contact|payment|balance of|invoice|statement|order|receipt|reminder for|for|from|on|am|of|le|la|el|rechnung|kontoauszug|facture|relevé|factura|extracto|fatura|extrato|estimado/a|estimado|estimada|bonjour|cher|chère|hola|olá|prezado|prezada|prezado/a|caro|hallo|guten tag|geehrte/r|geehrter|geehrte|em|dia|vence|a|o|sr|sra|mr|mrs|ms|herr|frau|à|请)|l'|नमस्ते|प्रिय) ?[,:]?$"
-)
-
-
-def _void_used(unit: str) -> bool:
-    """A void value counts where a value belongs: beside a slot or another void, before a colon, or after the words of a form letter."""
-    if SLOT in unit or unit.count(VOID) > 1 or re.match(VOID + " ?:", unit):
-        return True
-    return bool(_BEFORE_VALUE.search(unit[: unit.index(VOID)].rstrip()))
-
-
-def verdict(template: str) -> str | None:
-    """slot, filler, error, scripts or, for an ordinary template, None."""
-    spoken = bool(_PERSONAL.search(template)) or '"<status>' in template
-    if _SCRIPTS.search(template) and not spoken:
-        return "scripts"
-    if _ERRORS.search(template) and (not spoken or _PROGRAM.search(template)):
-        return "error"
-    if (_FILLER.search(template) or is_filler_words(template)) and not spoken and not _TALK.search(template):
-        return "filler"
-    return "slot" if open_slot(template) else None
+def says_something(sentence: str) -> bool:
+    """A whole sentence: closed by a mark, and of five words or, in scripts without spaces, sixteen letters."""
+    if not _CLOSED.search(sentence):
+        return False
+    return len(sentence.split()) >= 5 or len(sentence) >= 16 and max(map(len, sentence.split())) >= 16 and ord(sentence[0]) > 0x2FF
 
 
-# Some stem of every pattern of _SCRIPTS, _ERRORS and _FILLER: a unit without any is none of these.
-_STEM = re.compile(
-    r"script|browser|url|server|resource|block|access|permission|referenc|wrong|load|code|traceback|file|error|exception|object|fault|trace|fatal|warning|sqlstate|request|limited|session|sign in|reach|respond|connection|found|unavailable|looking for|status|http|introuvable|gefunden|p[áa]gina|ページ|पृष्ठ|पेज|エラー|त्रुटि|fehler|erreur|erro\b|denied|verweigert"
-    r"|placeholder|copy|text|here|type your|insert|completed|written|supplied|added|confirmed|sample|headline|dummy|test|lorem|ihr |tex[zt]|テキスト|本文|पाठ|टेक्स्ट|this (?:paragraph|line|section)|bla|click|cli[qc]|klick|escr|sais|hier|absatz|paragraphe|párrafo|parágrafo|\bat [\w$]+\."
-)
-_SPECIAL = (SLOT, VOID, "<status>")
-WILD = "<*>"
+def mail_units(text: str | None) -> list[tuple[str, int, int, int]]:
+    """Of a mail in order: unit, paragraph (0 is the subject), sentences said in that paragraph, sentences said in all."""
+    subject, lines = mime.read(text)
+    rows: list[tuple[str, int, int]] = [(u, 0, 0)] if (u := subject_unit(subject)) else []
+    total = 0
+    for n, (p, above) in enumerate(paragraphs(lines), 1):
+        parts = _cut_up(p)
+        said = sum(map(says_something, parts)) if above else 0
+        total += said
+        rows += [(u, n, said) for u in map(concepts.masked, parts) if u]
+    return [(*r, total) for r in rows]
 
 
 def unit_rows(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id and unit, one row for each unit of each mail in order; none for null and empty texts."""
+    """doc_id, mail (a hash of the text), unit, para, said and total: a row for each unit of each mail in order; none for null and empty texts."""
     shipped(documents.sparkSession)
-    picked = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    schema = picked.drop("text").withColumn("units", F.array(F.lit(""))).schema
+    picked = documents.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("mail"), F.col(text).cast("string").alias("text"))
+    row = pa.struct([("unit", pa.string()), ("para", pa.int32()), ("said", pa.int32()), ("total", pa.int32())])
+    schema = picked.drop("text").selectExpr("*", "cast(null as array<struct<unit: string, para: int, said: int, total: int>>) as units").schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: list[list[str]] = []
-            for value in batch.column(1):
-                subject, lines = mime.read(value.as_py())
-                found.append([u for u in (subject_unit(subject), *map(masked, sentences(lines))) if u])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], names=["doc_id", "units"])
+            flat = [mail_units(value.as_py()) for value in batch.column(2)]
+            rows = [r for units in flat for r in units]
+            ends = [0]
+            for units in flat:
+                ends.append(ends[-1] + len(units))
+            columns = [pa.array([r[k] for r in rows], row.field(k).type) for k in range(4)]
+            listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, fields=list(row)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), listed], names=["doc_id", "mail", "units"])
+
+    return picked.mapInArrow(run, schema).select("doc_id", "mail", F.inline("units"))
 
-    return picked.mapInArrow(run, schema).select("doc_id", F.explode("units").alias("unit"))
+
+# ------------------------------------------------------------------- mining
 
 
 def _leaf(words):
-    """The leaf of a unit: its number of words, the first ones, and where its special tokens stand."""
+    """The leaf of a unit: its number of words, the first ones, and where its masked parts stand."""
     variable = lambda w: F.when(w.rlike("[0-9<]"), F.lit(WILD)).otherwise(w)
-    special = F.filter(F.transform(words, lambda w, i: F.when(w.isin(*_SPECIAL), F.concat(i.cast("string"), w))), lambda w: w.isNotNull())
+    special = F.filter(F.transform(words, lambda w, i: F.when(w.isin(SLOT, VOID, BLANK, "<status>"), F.concat(i.cast("string"), w))), lambda w: w.isNotNull())
     return F.concat_ws(" ", F.size(words).cast("string"), F.concat_ws(" ", F.transform(F.slice(words, 1, DEPTH), variable)), F.concat_ws(" ", special))
 
 
+_telling = lru_cache(100_000)(concepts.telling)
+
+
 class _Leaf:
-    """The templates of one leaf; units of the leaf join the most similar one."""
+    """The templates of one leaf; units of the leaf join the most similar one that has the same telling words.
+
+    A unit that shares enough positions with a template shares one of the first
+    few after the prefix, whichever they are: only templates found under one of
+    those are compared, so that a leaf of many templates takes linear time.
+    """
 
     def __init__(self) -> None:
         self.templates: list[list[str]] = []
-        self.exact: dict[str, int] = {}
+        self.exemplars: list[str] = []
+        self.at: dict[tuple, list[int]] = {}
 
-    def place(self, unit: str) -> int:
-        if unit in self.exact:
-            return self.exact[unit]
+    def place(self, unit: str, exemplar: str) -> int:
         words = [w.rstrip(".,;!?") or w for w in unit.split(" ")]
-        best, most = -1, SIMILAR * len(words)
-        for k, t in enumerate(self.templates):
-            same = sum(a == b for a, b in zip(t, words))
+        n = len(words)
+        needed = -(-SIMILAR * n // 1)
+        told = tuple(w for w in words if _telling(w))
+        probes = int(n - needed + 1)
+        where = range(DEPTH, DEPTH + probes) if DEPTH + probes <= n else range(n)
+        keys = [(told, k, words[k]) for k in where if words[k] != WILD]
+        best, most = -1, needed
+        for c in sorted({c for key in keys for c in self.at.get(key, ())}):
+            same = sum(a == b for a, b in zip(self.templates[c], words))
             if same >= most and (same > most or best < 0):
-                best, most = k, same
+                best, most = c, same
         if best < 0:
             best = len(self.templates)
             self.templates.append(words)
+            self.exemplars.append(exemplar)
+            for key in keys:
+                self.at.setdefault(key, []).append(best)
         else:
             self.templates[best] = [a if a == b else WILD for a, b in zip(self.templates[best], words)]
-        self.exact[unit] = best
         return best
 
 
-def _mined(batches: Iterator[pd.DataFrame], text: str, finish) -> Iterator[pd.DataFrame]:
-    """Mines the ``text`` of rows sorted by part; a part may go on in the next batch."""
-    part, leaf, texts = None, _Leaf(), []
+def _mined(batches: Iterator[pd.DataFrame], text: str) -> Iterator[tuple[str, list[str], list[str], list[str]]]:
+    """Mines the ``text`` of rows sorted by part, which may go on in the next batch: part, texts, their templates and exemplars."""
+    part, leaf, texts, at = None, _Leaf(), [], []
 
-    def done() -> pd.DataFrame:
-        at = [leaf.place(t) for t in texts]
-        return finish(part, texts, [" ".join(leaf.templates[k]) for k in at])
+    def done() -> tuple[str, list[str], list[str], list[str]]:
+        whole = [" ".join(t) for t in leaf.templates]
+        return part, texts, [whole[k] for k in at], [leaf.exemplars[k] for k in at]
 
     for pdf in batches:
-        for p, t in zip(pdf["part"], pdf[text]):
+        for p, t, e in zip(pdf["part"], pdf[text], pdf["exemplar"] if "exemplar" in pdf else pdf[text]):
             if p != part:
                 if texts:
                     yield done()
-                part, leaf, texts = p, _Leaf(), []
+                part, leaf, texts, at = p, _Leaf(), [], []
             texts.append(t)
+            at.append(leaf.place(t, e))
     if texts:
         yield done()
 
 
-def _first_pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    def finish(part: str, texts: list[str], templates: list[str]) -> pd.DataFrame:
-        own = [own_verdict(u) for u in texts]
-        return pd.DataFrame({"leaf": part.split("\u0001", 1)[1], "unit": texts, "first": templates, "own": own})
+def _framed(columns: list[str], rows: Iterator[list[list]]) -> Iterator[pd.DataFrame]:
+    """Lists of columns as frames of 5,000 rows or more; there are many small parts."""
+    held: list[list] = [[] for _ in columns]
+    for lists in rows:
+        for h, x in zip(held, lists):
+            h += x
+        if len(held[0]) >= 5000:
+            yield pd.DataFrame(dict(zip(columns, held)))
+            held = [[] for _ in columns]
+    if held[0]:
+        yield pd.DataFrame(dict(zip(columns, held)))
+
 
-    yield from _joined(_mined(batches, "unit", finish))
+def _first_pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    rows = ([[part.split("\u0001", 1)[1]] * len(texts), texts, found, exemplars] for part, texts, found, exemplars in _mined(batches, "unit"))
+    yield from _framed(["leaf", "unit", "first", "exemplar"], rows)
 
 
 def _second_pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    def finish(part: str, texts: list[str], templates: list[str]) -> pd.DataFrame:
-        kinds = {t: verdict(t) for t in set(templates)}
-        return pd.DataFrame({"leaf": part, "first": texts, "template": templates, "kind": [kinds[t] for t in templates]})
+    def rows() -> Iterator[list[list]]:
+        for part, texts, found, exemplars in _mined(batches, "first"):
+            kinds = {e: concepts.candidate(e) for e in set(exemplars)}
+            yield [[part] * len(texts), texts, found, exemplars, [kinds[e] for e in exemplars]]
 
-    yield from _joined(_mined(batches, "first", finish))
+    yield from _framed(["leaf", "first", "template", "exemplar", "kind"], rows())
 
 
-def own_verdict(unit: str) -> str | None:
-    """What the verdict on its template may not say of a unit: a slot it leaves open, or what stands where either pass puts wildcards.
+def templates(units: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Mines the templates of all units.
 
-    Which positions become wildcards is known only after the second pass, so every unit that may get a verdict is judged.
+    First: leaf, unit and first (its template within its part), a row for each
+    distinct unit. Second: leaf, first, template, exemplar (one of its units)
+    and kind, a row for each template of a part; kind is what the exemplar is a
+    candidate for, null for an ordinary one. What comes out depends on the
+    units alone, not on their number of partitions.
     """
-    if SLOT in unit or VOID in unit or _STEM.search(unit) or is_filler_words(unit):
-        return verdict(unit)
-    return None
+    counted = units.select("unit").distinct().withColumn("leaf", _leaf(F.split("unit", " ")))
+    parts = counted.select("unit", F.concat(F.pmod(F.xxhash64("unit"), F.lit(SALTS)).cast("string"), F.lit("\u0001"), "leaf").alias("part"))
+    once = parts.repartition("part").sortWithinPartitions("part", "unit").mapInPandas(_first_pass, "leaf string, unit string, first string, exemplar string")
+    first = stored(once, "first")
+    merged = first.groupBy("leaf", "first").agg(F.min("exemplar").alias("exemplar")).select(F.col("leaf").alias("part"), "first", "exemplar")
+    merged = merged.repartition("part").sortWithinPartitions("part", "first")
+    second = stored(merged.mapInPandas(_second_pass, "leaf string, first string, template string, exemplar string, kind string"), "second")
+    return first.select("leaf", "unit", "first"), second
 
 
-def _joined(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Fewer, larger frames."""
-    held, rows = [], 0
-    for f in frames:
-        held.append(f)
-        rows += len(f)
-        if rows >= 5000:
-            yield pd.concat(held, ignore_index=True)
-            held, rows = [], 0
-    if held:
-        yield pd.concat(held, ignore_index=True)
+# ------------------------------------------------------------------ verdicts
 
 
-def templates(units: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Mines the templates of all units.
+def _with_voids(second: DataFrame) -> DataFrame:
+    """Candidates whose void value stands where another template has a slot are slots; other voids are ordinary."""
+    flat = F.regexp_replace("template", f"{SLOT}|{VOID}|{BLANK}", "<value>")
+    candidates = cut(second.filter("kind is not null").withColumn("flat", flat))
+    slots = candidates.filter("kind = 'slot'").select("flat").distinct()
+    voids = lookup_join(candidates.filter("kind = 'void'"), slots, ["flat"], "left_semi", salt_by="first")
+    return candidates.filter("kind <> 'void'").unionByName(voids.withColumn("kind", F.lit("slot"))).drop("flat")
+
+
+def judged(units: DataFrame, first: DataFrame, second: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The verdicts on templates, and where they are met.
 
-    First: leaf, unit, first (its template within its part) and own (the verdict
-    on the unit itself, where it needs one), a row for each distinct unit. Second: leaf, first, template
-    and kind, a row for each template of a part; kind is the verdict on
-    ``template``, null for an ordinary one.
+    First: leaf, template, kind, mails (that show it), alone (how many of these
+    say less than ``AMID`` sentences besides) and verdict, null for speech.
+    Second: doc_id, kind and others (sentences said besides), a row for each
+    document and kind that a template with a verdict gives it.
     """
-    counted = cut(units.select("unit").distinct().withColumn("leaf", _leaf(F.split("unit", " "))))
-    salts = counted.count() // TASK_UNITS + 1
-    parts = counted.select("unit", F.concat(F.pmod(F.xxhash64("unit"), F.lit(salts)).cast("string"), F.lit("\u0001"), "leaf").alias("part"))
-    once = parts.repartition("part").sortWithinPartitions("part", "unit").mapInPandas(_first_pass, "leaf string, unit string, first string, own string")
-    first = stored(once, "first")
-    merged = first.select("leaf", "first").distinct().select(F.col("leaf").alias("part"), "first").repartition("part").sortWithinPartitions("part", "first")
-    second = stored(merged.mapInPandas(_second_pass, "leaf string, first string, template string, kind string"), "second")
-    return first, second
+    kinds = _with_voids(second).select("leaf", "first", "template", "exemplar", "kind")
+    flagged = cut(lookup_join(first, kinds, ["leaf", "first"], salt_by="unit").select("unit", "leaf", "template", "exemplar", "kind"))
+    met = lookup_join(units, flagged, ["unit"], salt_by="mail")
+    # a mail's candidates lie together, and what it says besides is all but the paragraphs that hold one
+    key = ["leaf", "template", "exemplar", "kind"]
+    by_mail = met.groupBy("doc_id", "mail").agg(F.max("total").alias("total"), F.collect_set(F.struct("para", "said")).alias("paras"), F.collect_set(F.struct(*key)).alias("shown"))
+    others = F.col("total") - F.aggregate("paras", F.lit(0), lambda n, p: n + p["said"])
+    shown = stored(by_mail.select("doc_id", "mail", others.alias("others"), F.inline("shown")), "shown")
+    evidence = shown.groupBy(*key).agg(F.count("*").alias("mails"), F.count_if(F.col("others") < AMID).alias("alone"))
+    speaks = F.col("kind").isin("error", "scripts") & (F.col("alone") < F.col("mails") * ALONE)
+    verdicts = cut(evidence.withColumn("verdict", F.when(~speaks, F.col("kind"))))
+    held = lookup_join(shown, verdicts.filter("verdict is not null").select(*key), key, "left_semi", salt_by="mail")
+    return verdicts, held.select("doc_id", "kind", "others")
 
 
 def residue(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
     """doc_id and kind (slot, filler, error or scripts), a row for each mail and kind it shows.
 
-    The verdicts on templates go to their units and from those to the mails. Of
-    units with an ordinary template those are added that get a verdict by
-    themselves: a slot left open, or words in place of the template's wildcards.
-    Copies of a case are cases; null and empty texts are none. Ids may repeat.
+    The verdicts on templates go to their units and from those to the mails. A
+    mail that says ``AMID`` sentences or more besides isn't an error page or a
+    notice. Copies of a case are cases; null and empty texts are none. Ids may
+    repeat; a null id comes out as such.
     """
     units = stored(unit_rows(documents, doc_id, text), "units")
-    first, second = templates(units)
-    ill = cut(second.filter("kind is not null").select("leaf", "first", "kind"))
-    judged = lookup_join(first.select("leaf", "first", "unit", "own"), ill, ["leaf", "first"], "left", salt_by="unit")
-    flagged = cut(judged.withColumn("kind", F.coalesce("kind", "own")).filter("kind is not null").select("unit", "kind"))
-    return lookup_join(units, flagged, ["unit"], salt_by="doc_id").select("doc_id", "kind").distinct()
+    _, held = judged(units, *templates(units))
+    return held.filter(F.col("kind").isin("slot", "filler") | (F.col("others") < AMID)).select("doc_id", "kind").distinct()
 
 
 def template_report(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
     """template, kind (ordinary where there is no verdict), units (distinct) and occurrences."""
     units = stored(unit_rows(documents, doc_id, text), "units")
     first, second = templates(units)
-    both = first.join(second, ["leaf", "first"]).join(units.groupBy("unit").agg(F.count("*").alias("n")), "unit")
-    return both.groupBy("template", F.coalesce("kind", F.lit("ordinary")).alias("kind")).agg(F.count("*").alias("units"), F.sum("n").alias("occurrences"))
+    verdicts, _ = judged(units, first, second)
+    said = lookup_join(second.select("leaf", "first", "template", "exemplar"), verdicts.select("leaf", "template", "exemplar", "verdict"), ["leaf", "template", "exemplar"], "left", salt_by="first")
+    both = first.join(said, ["leaf", "first"]).join(units.groupBy("unit").agg(F.count("*").alias("n")), "unit")
+    return both.groupBy("template", F.coalesce("verdict", F.lit("ordinary")).alias("kind")).agg(F.count("*").alias("units"), F.sum("n").alias("occurrences"))
