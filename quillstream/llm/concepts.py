@@ -113,11 +113,15 @@ def open_slot(unit: str) -> bool:
 _GREETING = re.compile(rf"^(?:<cut> )?(?:[^\s,:;.!?<>]+ ){{1,3}}(?:{VOID}|{BLANK}) ?[,:!](?: |$)|^(?:{VOID}|{BLANK}) ?:")
 
 
+# Words that greet.
+_SALUTE = re.compile(rf"\b(?:hello|hi|dear|hallo|liebe[rs]?|guten tag|bonjour|cher|chère|hola|estimad[oa]|olá|prezad[oa]|caro)\b(?:/\w+)? (?:{VOID}|{BLANK})|(?:नमस्ते|प्रिय) (?:{VOID}|{BLANK})")
+
+
 def void_used(unit: str) -> bool:
     """A void value or blank counts beside a slot or another one, in a greeting, before a colon, or in a bare heading."""
     if VOID not in unit and BLANK not in unit:
         return False
-    if SLOT in unit or unit.count(VOID) + unit.count(BLANK) > 1 or _GREETING.search(unit):
+    if SLOT in unit or unit.count(VOID) + unit.count(BLANK) > 1 or _GREETING.search(unit) or _SALUTE.search(unit) and not spoken(unit):
         return True
     return VOID in unit and len(unit.split()) <= 3 and unit.endswith(VOID) and unit != VOID
 
@@ -149,7 +153,7 @@ _THING = re.compile(
     r"|\bseite\b|\bserver|\bdienst\b|\bzugriff\b|\bverbindung\b|\bsitzung\b|\bdatenbank\b|\bserveur\b|\baccès\b|\bconnexion\b|\bpágina\b|\bservidor\b|\bservicio\b|\bacceso\b|\bconexión\b|\bsesión\b|\bsitio\b|\bserviço\b|\bacesso\b|\bligação\b|\bconexão\b|\bsessão\b|ページ|サーバ|アクセス|接続|サービス|セッション|पेज|पृष्ठ|सर्वर|एक्सेस|सेवा|सत्र"
 )
 _FAILURE = re.compile(
-    r"\bnot found\b|\b(?:can(?:not|'t| not)|could(?: not|n't)) (?:be (?:displayed|found|reached|loaded|completed)|load|display|take your|reach|connect|find the (?:page|url|server))|\bunavailable\b|\bnot available\b|\b(?:isn't|is not) (?:working|available|reachable)\b|\b(?:doesn't|does not|no longer) exists?\b|\bhas (?:been )?(?:moved|removed|expired|timed out|been denied)\b|\b(?:was|been) (?:denied|refused|interrupted)\b|\bdenied\W*$|\bdenied you\b|\brefused\b|\btimed out\b|\btook too long\b|\bwent wrong\b|\bencountered an? \w* ?error\b|\bdown for maintenance\b|\bdoes not allow access\b|\bpermission to (?:view|access)\b|\bproblem with the\b|\bunable to (?:connect|load|complete|display)\b|\bto see this page\b|\b(?:you are|you were) looking for\b"
+    r"\bnot found\b|\bthe requested url\b|\b(?:can(?:not|'t| not)|could(?: not|n't)) (?:be (?:displayed|found|reached|loaded|completed)|load|display|take your|reach|connect|find the (?:page|url|server))|\bunavailable\b|\bnot available\b|\b(?:isn't|is not) (?:working|available|reachable)\b|\b(?:doesn't|does not|no longer) exists?\b|\bhas (?:been )?(?:moved|removed|expired|timed out|been denied)\b|\b(?:was|been) (?:denied|refused|interrupted)\b|\bdenied\W*$|\bdenied you\b|\brefused\b|\btimed out\b|\btook too long\b|\bwent wrong\b|\bencountered an? \w* ?error\b|\bdown for maintenance\b|\bdoes not allow access\b|\bpermission to (?:view|access)\b|\bproblem with the\b|\bunable to (?:connect|load|complete|display)\b|\bto see this page\b|\b(?:you are|you were) looking for\b"
     r"|\bnicht (?:gefunden|verfügbar|erreichbar|angezeigt)|\bvorübergehend nicht\b|\bverweigert\b|\babgelaufen\b|\bfehlgeschlagen\b|\bintrouvable\b|\bn['’]existe pas\b|\bindisponible\b|\brefusé|\bexpiré|\berreur interne\b|\bno (?:fue |ha sido |se ha )?encontrad|\bno existe\b|\bno (?:está )?disponible\b|\bdenegado\b|\bno se pudo\b|\bcaducado\b|\berror interno\b|\bnão (?:foi )?encontrad|\bnão existe\b|\bindisponível\b|\bnão está disponível\b|\bnegado\b|\bexpirou\b|\bnão foi possível\b|\berro interno\b|\bserverfehler\b|見つかりません|表示できません|拒否|利用できません|エラー|切れました|नहीं मिल|त्रुटि|अस्वीकृत|उपलब्ध नहीं|समाप्त"
 )
 # Failures that name no thing.
@@ -235,14 +239,22 @@ def is_filler_words(unit: str) -> bool:
 
 # ------------------------------------------------------------------ verdict
 
-_TELLING = re.compile(
-    r"<(?:slot|void|blank|status|cut)>|script|error|exception|fehler|erreur|erro\b|エラー|त्रुटि|lorem|ipsum|dummy|sample|placeholder|blind|platzhalter|^not$|n't$|^found|^denied|^unavail|^page|^site|^server|^service|^access|^session|^seite|^página|^text|^copy|^content|^message|^insert|^type$|^enter$|^here|^hier$|^ici$|^aqu|^to$|^be$|^test$|^bla|^(?:my|me|I|ich|je|eu|yo|yesterday|says?|said|because)$|day$|\"|`|\?$"
-)
+_DECIDING = (_SPEECH, _META, _SALUTE, _SCRIPT, _SCRIPT_STATE, _BROWSER_CHECK, _PROGRAM, _STATUS_LINE, _THING, _FAILURE, _APOLOGY, _FILLER)
+_ALL_STEMS = {w for p in _DECIDING for w in re.findall(r"[^\W\d_]+", re.sub(r"\\.", " ", p.pattern).lower())}
+_STEMS = frozenset(w for w in _ALL_STEMS if len(w) >= 3) - _FUNCTION | _LATIN | _EMPTY_WORDS | {"not", "can", "has", "was"}
+_SPACELESS_STEMS = tuple(w for w in _ALL_STEMS if ord(w[0]) > 0x2FF)
+_SPACELESS = re.compile(r"[\u0900-\u097f\u3040-\u30ff\u4e00-\u9fff]")
+_EDGES = ".,;:!?()[]*\"'«»“”„-–…/#>"
+_MARKED = re.compile(r"<(?:slot|void|blank|status|cut)>|n't\b|\b(?:i|ich|je|eu|yo|me)\b|[\"`?“„«「]|^[(\[]", re.I)
 
 
 def telling(word: str) -> bool:
-    """Words that a template keeps: those that decide its verdict most often."""
-    return bool(_TELLING.search(word))
+    """Words that a template keeps: those that may decide its verdict, which the patterns above name."""
+    if _MARKED.search(word):
+        return True
+    if _SPACELESS.search(word):
+        return any(w in word for w in _SPACELESS_STEMS)
+    return any(w[:k] in _STEMS for w in word.strip(_EDGES).lower().replace("'", "-").replace("’", "-").split("-") for k in range(3, len(w) + 1)) or is_mash(word)
 
 
 # Words, and parts of words in scripts without spaces, one of which every match of the patterns above holds: a unit
@@ -252,8 +264,6 @@ _OF_APOLOGIES = frozenset("wrong error blocked limited requests again fehler ina
 _OF_FILLER = frozenset(
     "placeholder dummy filler sample blindtext platzhalter platzhaltertext beispieltext lorem remplissage provisoire relleno ejemplo preenchimento provisório text texto texte texts copy content paragraph headline description message title body sentence absatz párrafo parágrafo contenido contenu conteúdo paragraphe diesen cliquez bla blah here click tbd tba tbc follow come be something line section".split()
 )
-_SPACELESS = re.compile(r"[\u0900-\u097f\u3040-\u30ff\u4e00-\u9fff]")
-_EDGES = ".,;:!?()[]*\"'«»“”„-–…/#>"
 
 
 def _words(unit: str) -> set[str]:
@@ -267,7 +277,7 @@ def candidate(unit: str) -> str | None:
     one is for their mails to say.
     """
     found = _notice(unit)
-    if found and (_PROGRAM.search(unit) or not spoken(unit)):
+    if found and (_PROGRAM.search(unit) or not (_SPEECH.search(unit) if found == "filler" else spoken(unit))):
         return found
     if open_slot(unit):
         return "slot"

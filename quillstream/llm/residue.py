@@ -177,7 +177,7 @@ class _Leaf:
         self.at: dict[tuple, list[int]] = {}
 
     def place(self, unit: str, exemplar: str) -> int:
-        words = [w.rstrip(".,;!?") or w for w in unit.split(" ")]
+        words = [w.rstrip(".,;!") or w for w in unit.split(" ")]
         n = len(words)
         needed = -(-SIMILAR * n // 1)
         told = tuple(w for w in words if _telling(w))

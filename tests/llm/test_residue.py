@@ -4,6 +4,9 @@ import base64
 
 import pytest
 
+import wordings
+
+from quillstream.llm import concepts as C
 from quillstream.llm import mime
 from quillstream.llm import residue as Z
 
@@ -50,8 +53,11 @@ def _mail(subject, body, how="8bit", kind="text/plain"):
 
 
 def _direct(text):
-    subject, lines = mime.read(text)
-    return {v for u in (Z.subject_unit(subject), *map(Z.masked, Z.sentences(lines))) if (v := Z.verdict(u))}
+    """The kinds a mail shows by its words alone, and by what it says besides: each unit judged for itself."""
+    rows = Z.mail_units(text)
+    kinds = {u: C.candidate(u) for u, *_ in rows}
+    others = (rows[0][3] if rows else 0) - sum({p: said for u, p, said, _ in rows if kinds[u]}.values())
+    return {k for k in kinds.values() if k and (k in ("slot", "filler") or k != "void" and others < Z.AMID)}
 
 
 @pytest.mark.parametrize("subject,body", CASES)
@@ -147,10 +153,23 @@ def test_mining_equals_direct_verdicts(documents):
     assert got == want
 
 
-@pytest.mark.parametrize("task_units", [1, 20])
-def test_salted_leaves_give_the_same(documents, monkeypatch, task_units):
+def _mined(spark, documents, partitions):
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        first, second = Z.templates(Z.unit_rows(documents.repartition(partitions), "doc_id", "text"))
+        return {tuple(r) for r in first.collect()}, {tuple(r) for r in second.collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+
+
+def test_templates_do_not_depend_on_partitions(spark, documents):
+    assert _mined(spark, documents, 1) == _mined(spark, documents, 7)
+
+
+@pytest.mark.parametrize("salts", [1, 7])
+def test_salted_leaves_give_the_same(documents, monkeypatch, salts):
     want = {tuple(r) for r in Z.residue(documents, "doc_id", "text").collect()}
-    monkeypatch.setattr(Z, "TASK_UNITS", task_units)
+    monkeypatch.setattr(Z, "SALTS", salts)
     assert {tuple(r) for r in Z.residue(documents, "doc_id", "text").collect()} == want
 
 
@@ -162,15 +181,59 @@ def test_wildcards_hide_nothing(spark):
     assert {r.doc_id for r in Z.residue(df, "doc_id", "text").collect()} == {i for i, t in rows if _direct(t)} >= {10, 11, 12, 13}
 
 
-@pytest.mark.parametrize("task_units", [1, 200_000])
-def test_units_of_a_leaf_in_several_parts_are_judged(spark, monkeypatch, task_units):
-    """Units that only the second pass puts into one template, their telling words behind its wildcard."""
+@pytest.mark.parametrize("salts", [1, 64])
+def test_units_of_a_leaf_in_several_parts_are_judged(spark, monkeypatch, salts):
+    """Words that decide a verdict never stand behind a wildcard, in whichever part they are mined."""
     rows = [(n, _mail("Hi", f"{t}\n")) for n, t in enumerate(["To be completed.", "To be confirmed.", "to be honest", "to be sure", "to be fair"])]
-    monkeypatch.setattr(Z, "TASK_UNITS", task_units)
+    monkeypatch.setattr(Z, "SALTS", salts)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id for r in Z.residue(df, "doc_id", "text").collect()} == {i for i, t in rows if _direct(t)} == {0, 1}
 
 
+TALK = "\n\nThe list of goods came on time. We booked it under the usual cost centre. Nothing else is open here.\n"
+
+
+def test_a_template_that_stands_amid_talk_is_speech(spark):
+    """The same sentence is a notice where its mails say nothing else, and speech where they do, even in the one short mail among them."""
+    line = "Access to the page was denied for branch {}.\n"
+    amid = [(n, _mail("Hi", line.format(n) + TALK)) for n in range(9)] + [(9, _mail("Hi", line.format(9)))]
+    alone = [(n, _mail("Hi", line.format(n))) for n in range(9)] + [(9, _mail("Hi", line.format(9) + TALK))]
+    found = [{r.doc_id for r in Z.residue(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()} for rows in (amid, alone)]
+    assert _direct(amid[9][1]) == {"error"} and found == [set(), set(range(9))]
+
+
+def test_a_void_counts_where_other_mails_leave_a_slot(spark):
+    rows = [(0, _mail("Hi", "The goods for None leave on Friday.\n")), (1, _mail("Hi", "The goods for {{branch}} leave on Friday.\n")), (2, _mail("Hi", "The choice for None stays open so far.\n"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in Z.residue(df, "doc_id", "text").collect()} == {0, 1} and not _direct(rows[0][1])
+    assert {r.doc_id for r in Z.residue(df.filter("doc_id <> 1"), "doc_id", "text").collect()} == set()
+
+
+def test_signatures_and_rules_say_nothing():
+    said = lambda body: Z.mail_units(_mail("Hi", body))[0][3]
+    assert said("404 Not Found\n\n-- \nAnn Lee is the head of sales.\n") == said("404 Not Found\n\n*****\nThis mail is meant for its reader alone.\n") == 0
+    assert said("We are closed for the whole week.\n\nRegards\nAnn") == 1
+
+
+@pytest.mark.parametrize("half", [0, 1])
+def test_wordings(half):
+    """The second half was written down before the rules and wasn't looked at while they were made."""
+    cases, found, wrong = 0, 0, 0
+    for kind, line in wordings.half(half):
+        case = kind not in ("speech", "ordinary")
+        got = bool(_direct(_mail("Hi", line + "\n" + ("" if case else TALK))))
+        cases, found, wrong = cases + case, found + (case and got), wrong + (not case and got)
+    assert found >= 0.9 * cases and wrong <= 0.1 * found, (cases, found, wrong)
+
+
+def test_a_leaf_of_many_templates_takes_linear_time():
+    """A leaf whose units are all unlike one another: none is compared with all the others."""
+    leaf = Z._Leaf()
+    for n in range(20_000):
+        leaf.place(f"the list {n}a {n}b {n}c {n}d {n}e {n}f", "")
+    assert len(leaf.templates) == 20_000
+
+
 def test_templates(documents):
     rows = Z.template_report(documents, "doc_id", "text").collect()
     assert any(Z.WILD in r.template and r.units > 1 for r in rows)
