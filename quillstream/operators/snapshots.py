@@ -37,13 +37,9 @@ def versions(rows: DataFrame, company: str, run: str, key: str, order: list[str]
     doesn't depend on the order of rows.
     """
     value = F.struct(*(F.col(o).alias(f"o{i}") for i, o in enumerate(order)), *(F.col(c).alias(f"c{i}") for i, c in enumerate(columns)))
-    best = (
-        rows.select(F.col(company).alias("company"), F.col(run).alias("run"), plain_or_null(key).alias("key"), value.alias("v"))
-        .filter("key is not null")
-        .groupBy("company", "run", "key")
-        .agg(F.max("v").alias("v"))
-    )
-    best = lookup_join(best, kept, ["company", "run"], salt_by="key")
+    named = rows.select(F.col(company).alias("company"), F.col(run).alias("run"), plain_or_null(key).alias("key"), value.alias("v")).filter("key is not null")
+    # what isn't kept goes before anything is shuffled
+    best = lookup_join(named, kept, ["company", "run"], salt_by="key").groupBy("company", "run", "key", "rank", "next_run").agg(F.max("v").alias("v"))
     return best.select("company", "run", "key", "rank", "next_run", *(F.col(f"v.c{i}").alias(c) for i, c in enumerate(columns)))
 
 

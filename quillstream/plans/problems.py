@@ -65,11 +65,11 @@ def _nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _renamed(h: DataFrame) -> DataFrame:
-    return h.select(F.col("tree").alias("tree_name"), F.col("scope").alias("company"), F.col("id").alias("node_guid"), F.col("root_id").alias("root_guid"), F.col("depth").alias("node_depth"), F.col("path").alias("node_path"), "parent_id", "closes_loop")
+    return h.select(F.col("tree").alias("tree_name"), F.col("scope").alias("company"), F.col("id").alias("node_guid"), F.col("root_id").alias("root_guid"), F.col("depth").alias("node_depth"), *(F.col(c).alias("node_path") for c in h.columns if c == "path"), "parent_id", "closes_loop")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return _renamed(tree.hierarchy(_nodes(spark, d))).select("tree_name", "company", "node_guid", "root_guid", "node_depth")
+    return _renamed(tree.hierarchy(_nodes(spark, d), paths=False)).select("tree_name", "company", "node_guid", "root_guid", "node_depth")
 
 
 def p2_paths(spark: SparkSession, d: str) -> DataFrame:
@@ -84,7 +84,7 @@ def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_loops(spark: SparkSession, d: str) -> DataFrame:
     """One edge of each loop, from node_guid back to its parent, that closes it."""
-    return _renamed(tree.hierarchy(_nodes(spark, d))).filter("closes_loop").select("tree_name", "company", "node_guid", F.col("parent_id").alias("parent_guid"))
+    return _renamed(tree.hierarchy(_nodes(spark, d), paths=False)).filter("closes_loop").select("tree_name", "company", "node_guid", F.col("parent_id").alias("parent_guid"))
 
 
 _PLAIN = "lower(trim({}, ' ' || chr(9)))"

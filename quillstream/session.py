@@ -9,13 +9,13 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a lookup side up to which it may be broadcast; beyond, the join is shuffled.
-BROADCAST_ROWS = 100_000
-#: Copies of the lookup side, and parts of each key of the other, in a salted join.
-SALTS = 16
+#: Rows, and bytes of their values, of a lookup side up to which it may be broadcast; beyond either, the join is shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32 << 20
+#: Rows of one key in a shuffled join from which they are parted.
+KEY_ROWS = 2_000_000
 
 
 def local_session(cores: str = "4", partitions: int = 8) -> SparkSession:
@@ -27,6 +27,7 @@ def local_session(cores: str = "4", partitions: int = 8) -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", "8g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -95,19 +96,35 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_STORED: list[tuple[SparkSession, str]] = []
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """The same rows, written to and read from a compressed table in the shared folder.
 
     For results that several later stages read: smaller than a checkpoint and
-    open to column pruning. The table is removed when the driver ends.
+    open to column pruning. The table is removed by ``release``, or when the
+    driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
+    if not _STORED:
+        atexit.register(release)
+    _STORED.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Removes all stored tables. For long sessions, once the results that came from them are written.
+
+    Checkpoints are removed by Spark as the frames that hold them are forgotten,
+    where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
+    """
+    while _STORED:
+        _remove(*_STORED.pop())
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
@@ -117,16 +134,38 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def lookup_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", salt_by: str | None = None, rows: int = BROADCAST_ROWS) -> DataFrame:
+def _bytes(df: DataFrame) -> Column:
+    """About the bytes of a row's values."""
+    sizes = [F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) if f.dataType.typeName() in ("string", "binary") else F.coalesce(F.length(F.to_json(F.struct(F.col(f"`{f.name}`")))), F.lit(0)) if f.dataType.typeName() in ("array", "map", "struct") else F.lit(8) for f in df.schema]
+    return sum(sizes, F.lit(0)).cast("long")
+
+
+def may_broadcast(small: DataFrame, rows: int | None = None) -> bool:
+    """Whether a frame's rows and their bytes, both counted, are few enough to broadcast."""
+    n, size = small.agg(F.count(F.lit(1)), F.coalesce(F.sum(_bytes(small)), F.lit(0))).first()
+    return n <= (BROADCAST_ROWS if rows is None else rows) and size <= BROADCAST_BYTES
+
+
+def lookup_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", salt_by: str | None = None, rows: int | None = None, fits: bool | None = None) -> DataFrame:
     """Joins ``big`` to ``small``, whose keys are unique, whatever the skew of ``big``.
 
-    ``small`` is counted first: up to ``rows`` rows it is broadcast. Beyond, each
-    of its rows is copied to every salt and the rows of a key in ``big`` are
-    spread over the salts by a hash of ``salt_by``. ``how`` is inner, left,
-    left_semi or left_anti. Null keys match nothing.
+    ``small`` is measured first: up to ``rows`` rows (``BROADCAST_ROWS``) and
+    ``BROADCAST_BYTES`` bytes it is broadcast. Beyond, the rows of ``big`` are
+    counted by key, and those of a key with more than ``KEY_ROWS`` are parted by
+    a hash of ``salt_by``, into as many parts as that takes; only the row that
+    such a key has in ``small`` is copied, once a part. Of such keys there are
+    no more than ``big`` has rows divided by ``KEY_ROWS``. ``how`` is inner,
+    left, left_semi or left_anti. Null keys match nothing. ``fits`` is what
+    ``may_broadcast`` said of ``small``, where a caller knows it already.
     """
-    if small.count() <= rows:
+    if fits or fits is None and may_broadcast(small, rows):
         return big.join(F.broadcast(small), keys, how)
-    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    spread = F.pmod(F.xxhash64(salt_by) if salt_by else F.xxhash64(*big.columns), F.lit(SALTS)).cast("int")
-    return big.withColumn("_salt", spread).join(salted, [*keys, "_salt"], how).drop("_salt")
+    counts = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > KEY_ROWS)
+    hot = cut(counts.select(*keys, F.ceil(F.col("_n") / KEY_ROWS).cast("int").alias("_parts")))
+    if hot.isEmpty():
+        return big.join(small, keys, how)
+    hot = F.broadcast(hot)
+    parted = small.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    by = F.xxhash64(salt_by) if salt_by else F.xxhash64(*big.columns)
+    salted = big.join(hot, keys, "left").withColumn("_salt", F.when(F.col("_parts").isNull(), F.lit(0)).otherwise(F.pmod(by, F.col("_parts")).cast("int"))).drop("_parts")
+    return salted.join(parted, [*keys, "_salt"], how).drop("_salt")

@@ -66,18 +66,38 @@ def _brute_tree(rows):
     return out
 
 
-@pytest.mark.parametrize("seed,largest", [(1, 10**6), (2, 10**6), (1, 2), (3, 0)])
-def test_hierarchy_against_walking_up(spark, seed, largest):
+def _brute_closers(rows):
+    names = {n: i for i, n, _ in sorted(rows, reverse=True) if n is not None}
+    up = {i: names.get(p) if p is not None else None for i, _, p in rows}
+    out = set()
+    for i in up:
+        path, j = [], i
+        while j is not None and j not in path:
+            path.append(j)
+            j = up[j]
+        if j is not None:
+            out.add(min(path[path.index(j) :]))
+    return out
+
+
+@pytest.mark.parametrize("seed,every", [(1, 10**6), (2, 10**6), (3, 12)])
+def test_hierarchy_against_walking_up(spark, seed, every):
     rnd = random.Random(seed)
     names = [f"n{k}" for k in range(60)]
     rows = [(f"i{k:02}", n if rnd.random() > 0.05 else None, rnd.choice(names[:k] or [None]) if rnd.random() < 0.8 else rnd.choice([*names, None, "nothing"])) for k, n in enumerate(names)]
     rows += [("self", "self", "self"), ("l1", "l1", "l2"), ("l2", "l2", "l1"), ("into", "into", "l1"), ("twin", "n3", None)]
     df = spark.createDataFrame([("t", "s", *r) for r in rows], "tree string, scope string, id string, name string, parent string").withColumn("node", F.lit("clash"))
-    got = {r.id: (r.root_id, r.depth, r.ancestors) for r in hierarchy.hierarchy(df, largest).collect()}
+    result = hierarchy.hierarchy(df, every=every).collect()
+    got = {r.id: (r.root_id, r.depth, r.ancestors) for r in result}
     want = _brute_tree(rows)
     assert {k: (v[0], v[1]) for k, v in got.items()} == {k: (v[0], v[1]) for k, v in want.items()}
     assert {k: v[2] for k, v in got.items()} == {k: v[2] for k, v in want.items()}
-    pairs = {(r.ancestor_id, r.descendant_id, r.distance) for r in hierarchy.descendants(df, largest).collect()}
+    names_of = {i: n or "" for i, n, _ in rows}
+    assert {r.id: r.path for r in result} == {k: None if v[2] is None else hierarchy.SEPARATOR.join(names_of[x] for x in [*v[2], k]) for k, v in want.items()}
+    assert {r.id for r in result if r.closes_loop} == _brute_closers(rows)
+    plain = {r.id: (r.root_id, r.depth) for r in hierarchy.hierarchy(df, False, every).collect()}
+    assert plain == {k: (v[0], v[1]) for k, v in want.items()}
+    pairs = {(r.ancestor_id, r.descendant_id, r.distance) for r in hierarchy.descendants(df, every).collect()}
     assert pairs == {(a, k, v[1] - n) for k, v in want.items() if v[2] is not None for n, a in enumerate(v[2])}
 
 
@@ -88,6 +108,27 @@ def test_hierarchy_long_chain_and_scopes(spark):
     assert tuple(got) == (299, 2, 0)
 
 
+@pytest.mark.parametrize("every", [150, 10**6])
+def test_hierarchy_of_long_loops_and_stars(spark, every):
+    """Loops over many cut nodes with ways leading into them, and a node of many children below another one."""
+    loop = [(f"{k:03}", f"l{k}", f"l{(k + 1) % 300}") for k in range(300)] + [(f"i{k:03}", f"i{k}", f"i{k + 1}" if k < 99 else "l7") for k in range(100)]
+    star = [("s", "s", None), ("t", "t", "s")] + [(f"x{k}", f"x{k}", "t" if k % 2 else "s") for k in range(400)]
+    df = spark.createDataFrame([("t", "s", *r) for r in loop + star], "tree string, scope string, id string, name string, parent string")
+    got = {r.id: (r.root_id, r.depth, r.closes_loop) for r in hierarchy.hierarchy(df, False, every).collect()}
+    want = {i: ("cycle", -1, i == "000") for i, _, _ in loop} | {"s": ("s", 0, False), "t": ("s", 1, False)} | {f"x{k}": ("s", 1 + k % 2, False) for k in range(400)}
+    assert got == want
+
+
+@pytest.mark.parametrize("shape", ["chain", "star"])
+def test_hierarchy_of_large_components(spark, shape):
+    """Depths of a component that several pieces make up: linear in its size, without paths."""
+    n, every = 20_000, 8_000
+    parent = F.when(F.col("id") > 0, F.concat(F.lit("n"), (F.col("id") - 1 if shape == "chain" else F.lit(0)).cast("string")))
+    df = spark.range(n).select(F.lit("t").alias("tree"), F.lit("s").alias("scope"), F.format_string("%07d", "id").alias("id"), F.concat(F.lit("n"), F.col("id").cast("string")).alias("name"), parent.alias("parent"))
+    got = hierarchy.hierarchy(df, False, every).agg(F.count("*"), F.max("depth"), F.sum("depth"), F.countDistinct("root_id")).first()
+    assert tuple(got) == ((n, n - 1, n * (n - 1) // 2, 1) if shape == "chain" else (n, 1, n - 1, 1))
+
+
 # -------------------------------------------------------------------- rolling
 
 
