@@ -2,10 +2,10 @@
 
 Parent keys are turned into integers without loss (``serial``): a key is its
 stem and the number its last hexadecimal digits write, of a known width. Sorted
-keys of consecutive numbers are compressed into runs, which hold one entry a
-key for the time from which it is live. Each distinct referenced key is matched
-as of the run that starts at or before it; a key beyond that run's end has no
-parent. Runs and references meet within (stem, width, block of numbers), which
+keys of consecutive numbers that are live from the same time are compressed into
+runs. Each distinct referenced key is matched as of the run that starts at or
+before it; a key beyond that run's end has no parent. Names that end in no digit
+are runs of one key. Runs and references meet within (stem, width, block of numbers), which
 holds ``BLOCK`` keys at most, and references are combined to one row a key
 before they are shuffled: a hot key weighs nothing until the last step, where
 its rows are spread by salt or met by a broadcast of checked size.
@@ -32,17 +32,17 @@ def serial(key: Column) -> list[Column]:
 
 
 def runs_of(parents: DataFrame) -> DataFrame:
-    """From target, key and live_from (one row a key): target, stem, width, block, lo, hi, since.
+    """From target, key and live_from (one row a key): target, stem, width, block, lo, hi, live_from.
 
-    ``since`` holds the live_from of each number from lo to hi in order.
+    A run holds keys of consecutive numbers that are live from the same time, so
+    that it is three values however many keys it holds.
     """
     keyed = parents.select("target", *serial(F.col("key")), "live_from").withColumn("block", F.floor(F.col("number") / BLOCK))
     by = ["target", "stem", "width", "block"]
-    island = F.col("number") - F.row_number().over(Window.partitionBy(*by).orderBy("number"))
-    grouped = keyed.withColumn("island", island).groupBy(*by, "island")
-    return grouped.agg(F.min("number").alias("lo"), F.max("number").alias("hi"), F.sort_array(F.collect_list(F.struct("number", "live_from"))).alias("members")).select(
-        *by, "lo", "hi", F.transform("members", lambda m: m["live_from"]).alias("since")
-    )
+    w = Window.partitionBy(*by).orderBy("number")
+    goes_on = (F.col("number") == F.lag("number").over(w) + 1) & F.col("live_from").eqNullSafe(F.lag("live_from").over(w))
+    grouped = keyed.withColumn("opens", F.when(goes_on, 0).otherwise(1)).withColumn("island", F.sum("opens").over(w)).groupBy(*by, "island")
+    return grouped.agg(F.min("number").alias("lo"), F.max("number").alias("hi"), F.min("live_from").alias("live_from")).drop("island")
 
 
 def faulty_keys(references: DataFrame, parents: DataFrame) -> DataFrame:
@@ -54,12 +54,11 @@ def faulty_keys(references: DataFrame, parents: DataFrame) -> DataFrame:
     distinct = references.groupBy("target", "key").agg(F.min("at").alias("first_at"))
     by = ["target", "stem", "width", "block"]
     asked = distinct.select("target", *serial(F.col("key")), "key", "first_at").withColumn("block", F.floor(F.col("number") / BLOCK))
-    runs = runs_of(parents).select(*by, F.col("lo").alias("number"), F.struct("lo", "hi", "since").alias("run"))
+    runs = runs_of(parents).select(*by, F.col("lo").alias("number"), F.struct("hi", "live_from").alias("run"))
     w = Window.partitionBy(*by).orderBy("number", F.col("key").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     matched = asked.unionByName(runs, allowMissingColumns=True).withColumn("run", F.last("run", ignorenulls=True).over(w)).filter("key is not null")
-    inside = F.col("run.hi") >= F.col("number")
-    live_from = F.when(inside, F.try_element_at(F.col("run.since"), (F.col("number") - F.col("run.lo") + 1).cast("int")))
-    return matched.withColumn("missing", ~F.coalesce(inside, F.lit(False))).withColumn("live_from", live_from).filter("missing or first_at < live_from").select("target", "key", F.when(~F.col("missing"), F.col("live_from")).alias("live_from"))
+    inside = F.coalesce(F.col("run.hi") >= F.col("number"), F.lit(False))
+    return matched.select("target", "key", "first_at", (~inside).alias("missing"), F.when(inside, F.col("run.live_from")).alias("live_from")).filter("missing or first_at < live_from").select("target", "key", "live_from")
 
 
 def orphans(references: DataFrame, parents: DataFrame, unique: str) -> DataFrame:

@@ -118,37 +118,34 @@ low AS (SELECT tree, company, start, min(reached) AS least, bool_or(reached = st
 # ------------------------------------------------------------------- 3: nested
 
 
-def _bills(spark: SparkSession, d: str) -> DataFrame:
-    return nested.vouchers(table(spark, d, "raw_messages"), children=(nested.BILLS,))
+def _with(spark: SparkSession, d: str, *children: str, **wanted: object) -> DataFrame:
+    return nested.vouchers(table(spark, d, "raw_messages"), children=children, **({"head": []} | wanted))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return nested.child_table(_bills(spark, d), "bills", {"name": "bill_ref"}).select("voucher_guid", "line_index", "bill_ref")
-
-
-def _all_children(spark: SparkSession, d: str) -> DataFrame:
-    return nested.vouchers(table(spark, d, "raw_messages"))
+    bills = _with(spark, d, nested.BILLS, entry=[], texts={nested.BILLS: ["NAME"]})
+    return nested.child_table(bills, "bills", {"name": "bill_ref"}, ledger=False).select("voucher_guid", "line_index", "bill_ref")
 
 
 def p3_vouchers(spark: SparkSession, d: str) -> DataFrame:
-    return nested.voucher_table(_all_children(spark, d)).select("voucher_guid", "msg_no", F.col("date").alias("date_text"), F.col("vouchertypename").alias("voucher_type"), F.col("vouchernumber").alias("voucher_number"), "narration")
+    return nested.voucher_table(_with(spark, d, head=nested.VOUCHER_TEXTS[1:], entry=["LEDGERNAME"])).select("voucher_guid", "msg_no", F.col("date").alias("date_text"), F.col("vouchertypename").alias("voucher_type"), F.col("vouchernumber").alias("voucher_number"), "narration")
 
 
 def p3_ledger_entries(spark: SparkSession, d: str) -> DataFrame:
-    return nested.entry_table(_all_children(spark, d)).withColumn("amount", number("amount"))
+    return nested.entry_table(_with(spark, d)).withColumn("amount", number("amount"))
 
 
 def p3_bill_allocations(spark: SparkSession, d: str) -> DataFrame:
-    return nested.child_table(_bills(spark, d), "bills", {"name": "bill_ref", "billtype": "bill_type", "amount": "amount"}).withColumn("amount", number("amount"))
+    return nested.child_table(_with(spark, d, nested.BILLS, entry=["LEDGERNAME"]), "bills", {"name": "bill_ref", "billtype": "bill_type", "amount": "amount"}).withColumn("amount", number("amount"))
 
 
 def p3_bank_allocations(spark: SparkSession, d: str) -> DataFrame:
-    v = nested.vouchers(table(spark, d, "raw_messages"), children=(nested.BANKS,))
+    v = _with(spark, d, nested.BANKS, entry=["LEDGERNAME"])
     return nested.child_table(v, "banks", {"transactiontype": "transaction_type", "instrumentnumber": "instrument_number", "amount": "amount"}).withColumn("amount", number("amount"))
 
 
 def p3_cost_centre_allocations(spark: SparkSession, d: str) -> DataFrame:
-    v = nested.vouchers(table(spark, d, "raw_messages"), children=(nested.COSTS,))
+    v = _with(spark, d, nested.COSTS, entry=["LEDGERNAME"])
     return nested.child_table(v, "costs", {"category": "cost_category", "name": "cost_centre", "amount": "amount"}).withColumn("amount", number("amount"))
 
 
