@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -64,15 +64,29 @@ def swapped(df: DataFrame, path: str) -> None:
     """Writes a table's new state beside it, then puts it in its place.
 
     Reading the old state while writing over it would lose it; the old one is
-    kept until the new one is there.
+    kept until the new one is there. ``recovered`` undoes a swap that was cut
+    off between the two renames, and is called first.
     """
     spark = df.sparkSession
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    recovered(spark, path)
     made = f"{path}.{uuid.uuid4().hex}"
     df.write.parquet(made)
-    new, old, back = (jvm.org.apache.hadoop.fs.Path(p) for p in (made, path, f"{made}.old"))
+    new, old, back = (jvm.org.apache.hadoop.fs.Path(p) for p in (made, path, f"{path}.old"))
     fs = old.getFileSystem(conf)
     if fs.exists(old):
         fs.rename(old, back)
     fs.rename(new, old)
     fs.delete(back, True)
+
+
+def recovered(spark: SparkSession, path: str) -> None:
+    """Puts the old state of a table back if a swap left none in its place, and removes it if the new one is there."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    here, back = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.old"))
+    fs = here.getFileSystem(conf)
+    if fs.exists(back):
+        if fs.exists(here):
+            fs.delete(back, True)
+        else:
+            fs.rename(back, here)

@@ -45,13 +45,15 @@ def plan(today: date, start: date | None, chunk: int, lookback: int, last_from:
     year's by default), newest first; a resumed one goes on below its frontier.
     After that the window starts a day after the last one, or ``lookback`` days
     back if that is earlier, oldest first; days missed beyond the lookback are
-    reported as a gap.
+    reported as a gap. Without a last day it starts at the lookback; a negative
+    lookback is none.
     """
-    target = start or fiscal_year_start(today)
-    if not full_done or last_to is None:
+    target, lookback = start or fiscal_year_start(today), max(0, lookback)
+    if not full_done:
         end = last_from - timedelta(days=1) if marker == DONE_MARKER and last_from else today
         return Plan(chunks(target, min(end, today), chunk, True), True)
-    resume, back = min(last_to + timedelta(days=1), today), today - timedelta(days=lookback)
+    back = today - timedelta(days=lookback)
+    resume = min(last_to + timedelta(days=1), today) if last_to else back
     return Plan(chunks(min(resume, back), today, chunk, False), False, max(0, (back - resume).days))
 
 
@@ -78,6 +80,20 @@ def halves(window: Window, newest_first: bool) -> list[Window]:
     return parts[::-1] if newest_first else parts
 
 
+def after_timeout(windows: list[Window], failed: int, newest_first: bool) -> tuple[list[Window], int]:
+    """What is left to walk after the window ``failed`` took too long, and the width it is walked in.
+
+    The window comes again as its halves, and those behind it are split to the
+    width of the larger half. A window of a single day isn't tried again.
+    """
+    a, b = windows[failed]
+    if a == b:
+        return windows[failed + 1 :], 1
+    parts = halves(windows[failed], newest_first)
+    days = max((y - x).days + 1 for x, y in parts)
+    return [*parts, *rechunk(windows[failed + 1 :], days, newest_first)], days
+
+
 def after_slow(days: int, took: float, budget: float) -> int:
     """Half the window from then on if one took over six tenths of its budget."""
     return max(1, days // 2) if took > 0.6 * budget else days
@@ -110,5 +126,6 @@ def forward_windows(df: DataFrame, start: str, end: str, chunk: int) -> DataFram
 
 def incremental_bounds(last_to: Column, today: Column, lookback: int) -> tuple[Column, Column]:
     """The first day of the next increment, and the days missed beyond the lookback."""
-    resume, back = F.least(F.date_add(last_to, 1), today), F.date_add(today, -lookback)
+    back = F.date_add(today, -max(0, lookback))
+    resume = F.coalesce(F.least(F.date_add(last_to, 1), F.when(last_to.isNotNull(), today)), back)
     return F.least(resume, back), F.greatest(F.datediff(back, resume), F.lit(0))

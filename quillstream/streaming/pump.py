@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from quillstream.operators.warehouse import latest
 from quillstream.session import shared_dir, shipped
@@ -29,9 +30,9 @@ def source(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return stream.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
-def run(stream: DataFrame, each: Callable[[DataFrame, int], None], mode: str) -> None:
-    """Runs a stream over all there is, then ends."""
-    folder = f"{shared_dir(stream.sparkSession).rstrip('/')}/stream-{uuid.uuid4().hex}"
+def run(stream: DataFrame, each: Callable[[DataFrame, int], None], mode: str, checkpoint: str | None = None) -> None:
+    """Runs a stream over all there is, then ends. Run again with its ``checkpoint``, it goes on where it ended."""
+    folder = checkpoint or f"{shared_dir(stream.sparkSession).rstrip('/')}/stream-{uuid.uuid4().hex}"
     query = stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", folder).trigger(availableNow=True).start()
     query.awaitTermination()
 
@@ -48,26 +49,52 @@ def daily_counts(events: DataFrame, at: str, by: list[str]) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def upserted(events: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+#: Parts of a streamed state; a micro-batch rewrites those it has keys of.
+STATE_PARTS = 64
+
+
+def _numbers(spark: SparkSession, base: str) -> list[int]:
+    """The micro-batches whose state is whole, in order: Spark marks what it wrote to the end."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(base)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    found = [s.getPath() for s in fs.listStatus(path)]
+    return sorted(int(p.getName().split("=")[1]) for p in found if p.getName().startswith("batch=") and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
+def upserted(events: DataFrame, keys: list[str], order: list[str], base: str | None = None) -> DataFrame:
     """The latest row of each key of a stream, as a table.
 
-    Each micro-batch is merged with the state of the one before, written under
-    its own number: running a batch again reads the same state and writes the same.
+    The state lies in ``base``, which also holds the stream's checkpoint, in
+    ``STATE_PARTS`` parts by key. A micro-batch writes only the parts it has keys
+    of, under its own number; a part's state is what the newest batch wrote of it.
+    Which batches are whole is read from the folder, so that a stream that is
+    started again, or a batch that is run again, finds the same state.
     """
     spark = events.sparkSession
-    base = f"{shared_dir(spark).rstrip('/')}/upsert-{uuid.uuid4().hex}"
-    last: list[int] = []
+    base = base or f"{shared_dir(spark).rstrip('/')}/upsert-{uuid.uuid4().hex}"
+    part = F.pmod(F.xxhash64(*keys), F.lit(STATE_PARTS)).cast("int")
+
+    def state(before: int | None = None) -> DataFrame | None:
+        numbers = [n for n in _numbers(spark, f"{base}/state") if before is None or n < before]
+        if not numbers:
+            return None
+        rows = spark.read.schema(StructType([*events.schema.fields, StructField("part", IntegerType()), StructField("batch", LongType())])).option("basePath", f"{base}/state").parquet(*(f"{base}/state/batch={n}" for n in numbers))
+        newest = rows.groupBy("part").agg(F.max("batch").alias("batch"))
+        return rows.join(F.broadcast(newest), ["part", "batch"], "left_semi").drop("batch")
 
     def merge(df: DataFrame, number: int) -> None:
-        before = [n for n in last if n < number]
-        state = spark.read.parquet(f"{base}/{before[-1]}") if before else None
-        merged = latest(df if state is None else state.unionByName(df), keys, order)
-        merged.write.mode("overwrite").parquet(f"{base}/{number}")
-        if number not in last:
-            last.append(number)
-
-    run(events, merge, "append")
-    return spark.read.parquet(f"{base}/{last[-1]}") if last else spark.createDataFrame([], events.schema)
+        new, old = df.withColumn("part", part), state(number)
+        if old is not None:
+            touched = new.select("part").distinct()  # at most STATE_PARTS rows
+            new = new.unionByName(old.join(F.broadcast(touched), "part", "left_semi"))
+        latest(new.drop("part"), keys, order).withColumn("part", part).write.mode("overwrite").partitionBy("part").parquet(f"{base}/state/batch={number}")
+
+    run(events, merge, "append", f"{base}/checkpoint")
+    done = state()
+    return done.select(*events.columns) if done is not None else spark.createDataFrame([], events.schema)
 
 
 def throttled(df: DataFrame, key: Column, at: str, unique: str, minutes: int) -> DataFrame:

@@ -6,7 +6,8 @@ from datetime import date, datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from quillstream.operators import batches, hierarchy, intervals, nested, numbering, references, reports, rolling, snapshots, warehouse
+from quillstream import session
+from quillstream.operators import batches, hierarchy, intervals, nested, numbering, references, reports, rolling, snapshots, sync, warehouse
 from quillstream.session import lookup_join
 
 # ------------------------------------------------------------------ intervals
@@ -244,6 +245,51 @@ def test_lookup_join_both_ways(spark, rows, how, want):
     assert lookup_join(big, small, ["k"], how, salt_by="n", rows=rows).count() == want
 
 
+def test_lookup_join_parts_hot_keys(spark, monkeypatch):
+    """Beyond the limit a key's rows are parted by their number; the lookup's rows are copied for hot keys alone."""
+    monkeypatch.setattr(session, "KEY_ROWS", 1_000)
+    big = spark.range(30_000).select((F.col("id") * (F.col("id") % 3) % 6_000).alias("k"), F.col("id").alias("n"))
+    small = spark.range(8_000).select(F.col("id").alias("k"), F.lit("x").alias("v"))
+    joined = lookup_join(big, small, ["k"], salt_by="n", rows=10)
+    assert joined.count() == joined.select("n").distinct().count() == 30_000
+    assert lookup_join(big, small.filter("k <> 0"), ["k"], "left_anti", salt_by="n", rows=10).count() == big.filter("k = 0").count()
+
+
+def test_orphans_beyond_the_broadcast_limit(spark):
+    """More faulty keys than may be broadcast: the last step shuffles, and gives the same."""
+    refs = spark.range(260_000).select(F.lit("t").alias("target"), F.format_string("%08x", F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id"))).alias("key"), F.timestamp_seconds(F.col("id")).alias("at"), F.col("id").alias("row_id"))
+    parents = spark.range(0, 50_000).select(F.lit("t").alias("target"), F.format_string("%08x", "id").alias("key"), F.timestamp_seconds(F.lit(100)).alias("live_from"))
+    out = references.orphans(refs, parents, "row_id")
+    want = refs.filter("cast(conv(key, 16, 10) as bigint) >= 50000 or row_id < 100")
+    assert out.count() == want.count() > 140_000 and out.join(want, "row_id", "left_anti").count() == 0
+
+
+def test_bytes_decide_a_broadcast_too(spark):
+    long = spark.range(100).select("id", F.repeat(F.lit("x"), F.lit(400_000)).alias("s"))
+    assert not session.may_broadcast(long) and session.may_broadcast(long.select("id")) and session.may_broadcast(long.limit(0))
+
+
+def test_swap_cut_off_between_its_renames(spark, tmp_path):
+    path = str(tmp_path / "t")
+    warehouse.swapped(spark.range(3), path)
+    (tmp_path / "t").rename(tmp_path / "t.old")
+    warehouse.recovered(spark, path)
+    assert spark.read.parquet(path).count() == 3 and not (tmp_path / "t.old").exists()
+
+
+def test_checkpoints_and_gates(spark):
+    day = date(2026, 5, 1)
+    held = spark.createDataFrame([("full", "c", date(2026, 5, 20), date(2026, 6, 1), 2, False), ("inc", "c", day, date(2026, 5, 2), None, False), ("idle", None, None, None, 7, None)], "dataset string, company string, last_from date, last_to date, marker long, full_sync_done boolean")
+    walked = [("full", "c", date(2026, 5, 10), date(2026, 5, 19), day, False, None), ("full", "c", day, date(2026, 5, 9), day, True, None), ("inc", "c", date(2026, 5, 3), date(2026, 5, 9), None, None, None), ("snap", "c", day, day, None, False, 0), ("new", "c", day, day, None, False, 3)]
+    w = spark.createDataFrame(walked, "dataset string, company string, window_from date, window_to date, target date, failed boolean, rows long")
+    got = {r.dataset: tuple(r)[2:] for r in sync.advanced(held, w, F.lit("2026-05-09").cast("date")).collect()}
+    assert got == {"full": (date(2026, 5, 10), date(2026, 6, 1), 2, False), "inc": (day, date(2026, 5, 9), None, True), "idle": (None, None, 7, False), "new": (day, day, None, False)}
+    seen = spark.createDataFrame([("A ", 5, 9), ("b", None, 9), ("d", 5, 9)], "company string, masters long, vouchers long")
+    marks = spark.createDataFrame([("a", sync.GATES["masters"], 5), ("a", sync.GATES["vouchers"], 8), ("b", sync.GATES["masters"], 5), ("b", sync.GATES["vouchers"], 9)], "company string, dataset string, last_alter_id long")
+    assert {tuple(r) for r in sync.gates(seen, marks).collect()} == {("A ", False, True), ("b", True, False), ("d", True, True)}
+    assert {(r.run_masters, r.run_vouchers) for r in sync.gates(seen, marks, False).collect()} == {(True, True)}
+
+
 def test_numbered_over_buckets(spark):
     df = spark.range(500).select((F.col("id") % 3).alias("k"), F.col("id").alias("v"), F.floor(F.col("id") / 40).alias("b"))
     got = numbering.numbered(df, ["k"], "b", [F.col("v")]).collect()

@@ -33,6 +33,22 @@ def test_incremental_plan_reports_gaps():
     assert ahead.windows[0][0] == date(2026, 7, 23) and ahead.gap_days == 0
 
 
+def test_finished_checkpoint_without_a_last_day_goes_on_from_the_lookback():
+    p = P.plan(date(2026, 7, 30), None, 31, 7, full_done=True)
+    assert (p.windows, p.full, p.gap_days) == ([(date(2026, 7, 23), date(2026, 7, 30))], False, 0)
+    assert P.plan(date(2026, 7, 30), None, 31, -3, None, date(2026, 7, 29), full_done=True).gap_days == 0
+
+
+@pytest.mark.parametrize("newest_first", [True, False])
+def test_what_is_left_after_a_timeout_is_walked_in_smaller_windows(newest_first):
+    walked = P.chunks(date(2026, 5, 1), date(2026, 5, 30), 10, newest_first)
+    left, days = P.after_timeout(walked, 1, newest_first)
+    assert days == 5 and {b - a for a, b in left} == {timedelta(4)}
+    covered = sorted(a + timedelta(n) for a, b in left for n in range((b - a).days + 1))
+    assert covered == sorted(a + timedelta(n) for a, b in walked[1:] for n in range((b - a).days + 1))
+    assert P.after_timeout([(date(2026, 5, 1), date(2026, 5, 1)), (date(2026, 5, 2), date(2026, 5, 2))], 0, False) == ([(date(2026, 5, 2), date(2026, 5, 2))], 1)
+
+
 def test_rechunk_and_halves():
     pieces = P.rechunk([(date(2026, 3, 1), date(2026, 3, 9))], 3, True)
     assert [a.day for a, _ in pieces] == [7, 4, 1]
@@ -149,5 +165,19 @@ def test_pair_walk_reads_all_nations(spark, data):
     import __spark_entry__ as e
 
     nations = {r.c_nationkey for r in spark.read.parquet(f"{data}/customer.parquet").filter("c_custkey % 5 <> 0").select("c_nationkey").distinct().collect()}
-    assert {r.report for r in e.queries()["report_pair_walk_whole"](spark, data).select("report").distinct().collect()} == nations
+    assert {r.report for r in e.queries()["report_pair_walk"](spark, data).select("report").distinct().collect()} == nations
     assert max(nations) >= 20
+
+
+def test_stream_upsert_goes_on_after_a_restart(spark, tmp_path):
+    """State and checkpoint lie in one folder: a second run takes only what is new, and finds what was there."""
+    folder, base = str(tmp_path / "in"), str(tmp_path / "state")
+    schema = "k string, n int, x string"
+    events = lambda: spark.readStream.schema(schema).parquet(folder)
+    spark.createDataFrame([("a", 1, "old"), ("b", 1, "b"), (None, 1, "none")], schema).write.mode("append").parquet(folder)
+    first = {tuple(r) for r in pump.upserted(events(), ["k"], ["n"], base).collect()}
+    assert first == {("a", 1, "old"), ("b", 1, "b"), (None, 1, "none")}
+    spark.createDataFrame([("a", 2, "new"), ("a", 0, "late"), ("c", 1, "c")], schema).write.mode("append").parquet(folder)
+    for _ in range(2):  # the second time there is nothing new
+        again = {tuple(r) for r in pump.upserted(events(), ["k"], ["n"], base).collect()}
+        assert again == {("a", 2, "new"), ("b", 1, "b"), ("c", 1, "c"), (None, 1, "none")}
