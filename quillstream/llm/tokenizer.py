@@ -69,6 +69,8 @@ class Tables:
     def compatible(self, left: int, right: int) -> bool:
         """Would merging leave the two tokens as they are, side by side?
 
+        The pair check of backtracking byte pair encoding, as published for linear-time encoders.
+
         Undoes merges at the seam from the latest to the earliest. A merge across
         the seam counts only if it would have come before those undone so far.
         """
