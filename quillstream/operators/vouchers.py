@@ -14,7 +14,7 @@ lookup move rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstream.functions import scalars as S
@@ -28,12 +28,6 @@ def preferred(first: str, second: str) -> Column:
     return F.when(F.size(F.coalesce(F.col(first), F.array())) > 0, F.col(first)).otherwise(F.col(second))
 
 
-def first_wins(df: DataFrame, key: Column, order: list[str]) -> DataFrame:
-    """The first row of each key in the given order, which must be total."""
-    w = Window.partitionBy("_key").orderBy(*order)
-    return df.withColumn("_key", key).withColumn("_nr", F.row_number().over(w)).filter("_nr = 1").drop("_key", "_nr")
-
-
 def screened(v: DataFrame, start: str, end: str) -> tuple[DataFrame, DataFrame]:
     """The vouchers of a window, and counts of all rows by what became of them.
 
@@ -44,10 +38,12 @@ def screened(v: DataFrame, start: str, end: str) -> tuple[DataFrame, DataFrame]:
     day = S.real_day("date_text")
     state = v.withColumn("voucher_date", day).withColumn("fate", F.when(day.isNull(), "invalid_date").when(~day.between(F.lit(start).cast("date"), F.lit(end).cast("date")), "out_of_window"))
     key = S.document_key(F.col("guid"), F.col("voucher_date"), F.col("voucher_type"), F.col("voucher_number"), F.col("master_id"))
-    w = Window.partitionBy("_key", F.col("fate").isNull()).orderBy("doc_order")
-    nr = F.row_number().over(w)
-    judged = state.withColumn("_key", key).withColumn("fate", F.when(F.col("fate").isNotNull(), F.col("fate")).when(nr > 1, "duplicate").otherwise("kept")).drop("_key")
-    return judged.filter("fate = 'kept'").drop("fate"), judged.groupBy("fate").agg(F.count("*").alias("vouchers"))
+    # aggregates, not windows: the rows of a key are combined before they are shuffled
+    valid = state.filter("fate is null").withColumn("_key", key)
+    kept = valid.groupBy("_key").agg(F.min_by(F.struct(*(c for c in state.columns if c != "fate")), "doc_order").alias("_v")).select("_v.*")
+    once = valid.groupBy("_key").agg(F.count("*").alias("n")).agg(F.count("*").alias("kept"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate"))
+    fates = once.select(F.inline(F.array(*(F.struct(F.lit(f).alias("fate"), F.col(f).alias("vouchers")) for f in ("kept", "duplicate"))))).filter("vouchers > 0")
+    return kept, fates.unionByName(state.filter("fate is not null").groupBy("fate").agg(F.count("*").alias("vouchers")))
 
 
 def headers(v: DataFrame) -> DataFrame:
@@ -163,8 +159,8 @@ def manifest(v: DataFrame) -> DataFrame:
     return v.select("guid", "voucher_date", "voucher_type", "alter_id", "is_cancelled")
 
 
-def extents(v: DataFrame) -> DataFrame:
-    return v.agg(F.count("*").alias("vouchers"), F.min("voucher_date").alias("first_date"), F.max("voucher_date").alias("last_date"))
+def extents(v: DataFrame, *by: str) -> DataFrame:
+    return v.groupBy(*by).agg(F.count("*").alias("vouchers"), F.min("voucher_date").alias("first_date"), F.max("voucher_date").alias("last_date"))
 
 
 def fan_out(v: DataFrame, banks: DataFrame) -> dict[str, DataFrame]:

@@ -118,7 +118,13 @@ def purge_cutoff(spark, d):
 def error_groups(spark, d):
     e = table(spark, d, "events").filter("event_type = 'error'").withColumn("message", F.concat("event_type", F.lit(" "), "props"))
     g = e.groupBy(S.group_key(F.col("event_type"), (F.col("user_id") % 20).cast("string"), F.lit("load")).alias("group_key"))
-    return g.agg(F.count("*").alias("errors"), F.max("message").alias("highest_message"), F.max_by("message", F.struct("ts", "event_id")).alias("latest_message"), F.concat_ws(",", F.transform(F.sort_array(F.collect_list("event_id")), lambda x: x.cast("string"))).alias("ids"))
+    return g.agg(F.count("*").alias("errors"), F.max("message").alias("highest_message"), F.max_by("message", F.struct("ts", "event_id")).alias("latest_message"))
+
+
+def error_group_ids(spark, d):
+    """The group of each error, a row each: a group may hold any number of them."""
+    e = table(spark, d, "events").filter("event_type = 'error'")
+    return e.select(S.group_key(F.col("event_type"), (F.col("user_id") % 20).cast("string"), F.lit("load")).alias("group_key"), "event_id")
 
 
 def recent_errors(spark, d):
@@ -250,7 +256,7 @@ def company_match(spark, d):
 
 
 def queries():
-    made = [batch_slices, content_checksum, batch_id, next_sequence, equivalent_batch, dequeue_next, list_by_status, queue_stats, orphan_payloads, missing_payloads, ack_move, retry_backoff, purge_cutoff, error_groups, recent_errors, change_gate, checkpoint_advance]
+    made = [batch_slices, content_checksum, batch_id, next_sequence, equivalent_batch, dequeue_next, list_by_status, queue_stats, orphan_payloads, missing_payloads, ack_move, retry_backoff, purge_cutoff, error_groups, error_group_ids, recent_errors, change_gate, checkpoint_advance]
     made += [plan_full_windows, plan_incremental, fy_start, window_split, upsert_latest, child_replace, snapshot_replace, deletion_sweep, recon_counts, recon_double_entry, recon_cancelled, recon_stock, control_totals, count_validation, company_match]
     return {f.__name__: f for f in made}
 
@@ -276,7 +282,8 @@ def oracle_sql():
         "retry_backoff": "SELECT batch_id, retry_count, CAST(least(pow(2, least(retry_count, 20)), 30) AS DOUBLE) AS wait_minutes FROM upload_batches WHERE retry_count > 0",
         "purge_cutoff": "SELECT batch_id, created_utc FROM upload_batches WHERE created_utc >= '2026-01-01T00:00:00Z'",
         "error_groups": """WITH e AS (SELECT *, event_type || ' ' || props AS message, upper(left(sha256(concat_ws('|', event_type, CAST(user_id % 20 AS VARCHAR), 'load')), 16)) AS group_key FROM events WHERE event_type = 'error')
-  SELECT group_key, count(*) AS errors, max(message) AS highest_message, arg_max(message, (ts, event_id)) AS latest_message, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) AS ids FROM e GROUP BY 1""",
+  SELECT group_key, count(*) AS errors, max(message) AS highest_message, arg_max(message, (ts, event_id)) AS latest_message FROM e GROUP BY 1""",
+        "error_group_ids": "SELECT upper(left(sha256(concat_ws('|', event_type, CAST(user_id % 20 AS VARCHAR), 'load')), 16)) AS group_key, event_id FROM events WHERE event_type = 'error'",
         "recent_errors": "SELECT event_id, user_id, value FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id DESC LIMIT 25",
         "change_gate": "WITH s AS (SELECT _company AS company, max(alter_id) AS seen FROM voucher_types GROUP BY 1), c AS (SELECT company, max(last_alter_id) AS stored FROM sync_checkpoints WHERE dataset = 'voucher_types' GROUP BY 1) SELECT s.company, seen, stored, seen IS NULL OR stored IS NULL OR seen <> stored AS gate_open FROM s LEFT JOIN c ON c.company = s.company",
         "checkpoint_advance": "SELECT dataset, company, last_success_utc, CAST(last_alter_id AS DOUBLE) AS last_alter_id, last_to_date, _sync_id FROM sync_checkpoints QUALIFY row_number() OVER (PARTITION BY dataset, company ORDER BY last_success_utc DESC NULLS LAST, _sync_id DESC NULLS LAST, last_alter_id DESC NULLS LAST, last_to_date DESC NULLS LAST) = 1",

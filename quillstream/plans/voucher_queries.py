@@ -97,7 +97,7 @@ j AS (SELECT *, coalesce(reject, CASE WHEN row_number() OVER (PARTITION BY k, re
 
 def _month_extents(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "orders").select(F.date_format("o_orderdate", "yyyy-MM").alias("window"), F.col("o_orderdate").cast("date").alias("voucher_date"))
-    return iso(v.groupBy("window").agg(F.count("*").alias("vouchers"), F.min("voucher_date").alias("first_date"), F.max("voucher_date").alias("last_date")))
+    return iso(V.extents(v, "window"))
 
 
 def _shape_counts(spark: SparkSession, d: str) -> DataFrame:
