@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillstream.plans import io_queries, more_queries, report_queries, state_queries, sync_queries, voucher_queries
+from quillstream.plans import io_queries, more_queries, report_queries, source_queries, state_queries, sync_queries, voucher_queries
 
-_PARTS = [voucher_queries, report_queries, state_queries, io_queries, more_queries, sync_queries]
+_PARTS = [voucher_queries, report_queries, source_queries, state_queries, io_queries, more_queries, sync_queries, source_queries]
 
 
 def queries():
