@@ -43,7 +43,9 @@ def linked(nodes: DataFrame) -> DataFrame:
     """
     keyed = nodes.withColumn("node", F.concat_ws("\u0001", "tree", F.coalesce("scope", F.lit("\u0002")), "id")).withColumn("s", F.coalesce("scope", F.lit("\u0002")))
     known = keyed.filter("name is not null").groupBy("tree", "s", F.col("name").alias("parent")).agg(F.min(F.struct("id", "node")).alias("p"))
-    found = lookup_join(keyed, known, ["tree", "s", "parent"], "left", salt_by="id")
+    # the names are no more than the nodes, which are cheaper to measure
+    fits = may_broadcast(keyed.select("tree", "s", "name", "id", "node")) or None
+    found = lookup_join(keyed, known, ["tree", "s", "parent"], "left", salt_by="id", fits=fits)
     return found.select("tree", "scope", "id", "name", F.col("p.id").alias("parent_id"), F.col("p.node").alias("up"), "node")
 
 
@@ -160,8 +162,8 @@ def _jumped(rows: DataFrame, pointers: DataFrame, fits: bool, *columns) -> DataF
     return lookup_join(rows, to, ["at"], salt_by="node", fits=fits).select("node", F.col("next").alias("at"), *columns)
 
 
-def _solved(links: DataFrame, paths: bool, every: int, level: int = 0) -> tuple[DataFrame, list[DataFrame]]:
-    """Each node's root and depth, and the nodes that close loops.
+def _solved(links: DataFrame, paths: bool, loops: bool, every: int, level: int = 0) -> tuple[DataFrame, list[DataFrame]]:
+    """Each node's root and depth, and, with ``loops``, the nodes that close loops.
 
     ``links``: node, up, step, low and, for paths, trail and above, of nodes that
     have a parent; an ``up`` that is no node is a root. Result: node, root (null
@@ -170,9 +172,11 @@ def _solved(links: DataFrame, paths: bool, every: int, level: int = 0) -> tuple[
     labels = ["trail", "above"] if paths else []
     counts = links.groupBy(F.col("up").alias("node")).agg(F.count(F.lit(1)).alias("children"))
     chance = F.pmod(F.xxhash64(F.lit(level), "node"), F.lit(every))
-    cutters = cut(counts.filter(chance < F.col("children")).join(links.select("node"), "node", "left_semi").select("node", F.lit(True).alias("hit")))
-    no_cuts = cutters.isEmpty()
+    cutters = cut(counts.filter(chance < F.col("children")).select("node", F.lit(True).alias("hit")))
     fits = may_broadcast(links.select("node", "up", "low"))
+    if not (no_cuts := cutters.isEmpty()):
+        cutters = cut(lookup_join(links.select("node"), cutters, ["node"]))  # roots rest by themselves
+        no_cuts = cutters.isEmpty()
     marks = links.select("node", "up", F.lit(False).alias("hit"))
     if not no_cuts:
         marks = cut(lookup_join(links.select("node", "up"), cutters, ["node"], "left", salt_by="up").select("node", "up", F.coalesce("hit", F.lit(False)).alias("hit")))
@@ -187,7 +191,7 @@ def _solved(links: DataFrame, paths: bool, every: int, level: int = 0) -> tuple[
         state = cut(_jumped(active.select("node", "at"), pointers, fits, F.col("t_piece").alias("piece"), F.col("t_rests").alias("rests")))
         rested, active = rested.unionByName(state.filter("rests")), state.filter("not rests")
         before, n = n, active.count()
-    closers = [_caught(active, links, fits)] if n else []
+    closers = [_caught(active, links, fits)] if n and loops else []
     lost = [active.select("node")] if n else []
 
     rows = links.join(rested.select("node", "at", "piece"), "node")
@@ -200,7 +204,7 @@ def _solved(links: DataFrame, paths: bool, every: int, level: int = 0) -> tuple[
         local = stored(local, "pieces")
         deeper = local.filter("hit").select("node", F.col("at").alias("up"), F.col("depth").alias("step"), "low", *labels)
         # the cut nodes that were caught are left out of ``deeper``, and what hangs below them is caught with them
-        above, more = _solved(deeper, paths, every, level + 1)
+        above, more = _solved(deeper, paths, loops, every, level + 1)
         missed = [x.join(cutters, "node", "left_semi") for x in lost]
         for x in missed:
             above = above.unionByName(x.select("node", F.lit(None).cast("string").alias("root"), F.lit(None).cast("long").alias("depth"), *(F.lit(None).cast("array<string>").alias(c) for c in labels)))
@@ -214,8 +218,8 @@ def _solved(links: DataFrame, paths: bool, every: int, level: int = 0) -> tuple[
     return solved, closers
 
 
-def hierarchy(nodes: DataFrame, paths: bool = True, every: int = EVERY) -> DataFrame:
-    """One row a node: tree, scope, id, name, parent_id, root_id, depth, closes_loop and, with ``paths``, path and ancestors.
+def hierarchy(nodes: DataFrame, paths: bool = True, every: int = EVERY, loops: bool = True) -> DataFrame:
+    """One row a node: tree, scope, id, name, parent_id, root_id, depth and, with ``loops``, closes_loop and, with ``paths``, path and ancestors.
 
     ``nodes``: tree, scope, id, name and parent, unique by tree, scope and id;
     names and parents plain, null for blank. Rows with a null id are left out.
@@ -231,7 +235,7 @@ def hierarchy(nodes: DataFrame, paths: bool = True, every: int = EVERY) -> DataF
     edges = cut(linked(nodes.select("tree", "scope", "id", "name", "parent").filter("id is not null")))
     labels = [F.array(F.coalesce("name", F.lit(""))).alias("trail"), F.array("parent_id").alias("above")] if paths else []
     links = edges.filter("up is not null").select("node", "up", F.lit(1).cast("long").alias("step"), F.col("node").alias("low"), *labels)
-    solved, closers = _solved(links, paths, every)
+    solved, closers = _solved(links, paths, loops, every)
     out = edges.join(solved, "node", "left").withColumn("closes", F.lit(False))
     if closers:
         ends = closers[0]
@@ -244,8 +248,9 @@ def hierarchy(nodes: DataFrame, paths: bool = True, every: int = EVERY) -> DataF
     columns = [
         "tree", "scope", "id", "name", "parent_id",
         F.when(is_root, F.col("id")).when(caught, F.lit(CYCLE)).otherwise(root_id).alias("root_id"),
-        F.when(is_root, F.lit(0)).when(caught, F.lit(-1)).otherwise(F.col("depth")).cast("long").alias("depth"), F.coalesce("closes", F.lit(False)).alias("closes_loop"),
+        F.when(is_root, F.lit(0)).when(caught, F.lit(-1)).otherwise(F.col("depth")).cast("long").alias("depth"),
     ]
+    columns += [F.coalesce("closes", F.lit(False)).alias("closes_loop")] if loops else []
     if not paths:
         return out.select(*columns)
     tops = edges.filter("up is null").select(F.col("node").alias("root"), F.coalesce("name", F.lit("")).alias("top"))
@@ -260,5 +265,5 @@ def descendants(nodes: DataFrame, every: int = EVERY) -> DataFrame:
 
     The result has as many rows as the depths sum up to, which is what was asked for.
     """
-    walked = hierarchy(nodes, True, every).filter("depth > 0").select("tree", "scope", F.col("id").alias("descendant_id"), "depth", F.posexplode("ancestors").alias("at", "ancestor_id"))
+    walked = hierarchy(nodes, True, every, loops=False).filter("depth > 0").select("tree", "scope", F.col("id").alias("descendant_id"), "depth", F.posexplode("ancestors").alias("at", "ancestor_id"))
     return walked.select("tree", "scope", "ancestor_id", "descendant_id", (F.col("depth") - F.col("at")).alias("distance"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstream.functions.text import plain_or_null, stripped
-from quillstream.session import lookup_join
+from quillstream.session import lookup_join, stored
 
 
 def deliveries(rows: DataFrame, company: str, run: str, at: str, complete: DataFrame) -> DataFrame:
@@ -54,7 +54,8 @@ def changes(kept: DataFrame, numbers: list[str], texts: list[str]) -> DataFrame:
         "company", "run", "key", "rank", "next_run",
         F.struct(*(F.col(c) for c in numbers), *(F.coalesce(stripped(c), F.lit("")).alias(c) for c in texts)).alias("state"),
     )
-    merged = by_key.repartitionByRange("company", "key")
+    # written first: the ranges are found from a sample, which would compute the versions once more
+    merged = stored(by_key, "versions").repartitionByRange("company", "key")
     w = Window.partitionBy("company", "key").orderBy("rank")
     before, state_before, after = F.lag("rank").over(w), F.lag("state").over(w), F.lead("rank").over(w)
     pairs = merged.select("company", "run", "key", "rank", "next_run", "state", before.alias("before"), state_before.alias("state_before"), after.alias("after"))

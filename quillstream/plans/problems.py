@@ -65,16 +65,16 @@ def _nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _renamed(h: DataFrame) -> DataFrame:
-    return h.select(F.col("tree").alias("tree_name"), F.col("scope").alias("company"), F.col("id").alias("node_guid"), F.col("root_id").alias("root_guid"), F.col("depth").alias("node_depth"), *(F.col(c).alias("node_path") for c in h.columns if c == "path"), "parent_id", "closes_loop")
+    return h.select(F.col("tree").alias("tree_name"), F.col("scope").alias("company"), F.col("id").alias("node_guid"), F.col("root_id").alias("root_guid"), F.col("depth").alias("node_depth"), *(F.col(c).alias("node_path") for c in h.columns if c == "path"), *(c for c in ("parent_id", "closes_loop") if c in h.columns))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return _renamed(tree.hierarchy(_nodes(spark, d), paths=False)).select("tree_name", "company", "node_guid", "root_guid", "node_depth")
+    return _renamed(tree.hierarchy(_nodes(spark, d), paths=False, loops=False)).select("tree_name", "company", "node_guid", "root_guid", "node_depth")
 
 
 def p2_paths(spark: SparkSession, d: str) -> DataFrame:
     """The names from the root down to each node, null for nodes caught in a loop."""
-    return _renamed(tree.hierarchy(_nodes(spark, d))).select("tree_name", "company", "node_guid", "node_path")
+    return _renamed(tree.hierarchy(_nodes(spark, d), loops=False)).select("tree_name", "company", "node_guid", "node_path")
 
 
 def p2_descendants(spark: SparkSession, d: str) -> DataFrame:

@@ -70,6 +70,34 @@ def named_report(spark, d):
     return masters.named_report(docs).select(F.col("report").cast("bigint").alias("c_custkey"), "name", "amount")
 
 
+def _items(spark, d):
+    """Every part as a stock item with lists of costs and tax details; some details are missing, some rates 0."""
+    p = table(spark, d, "part")
+    n = lambda x: F.expr(x).cast("string")
+    detail = F.concat(F.lit("<GstDetails.List><HSN>"), n("p_size"), F.lit("</HSN><TAXABILITY/><RateDetails.List><GSTRATE>0</GSTRATE></RateDetails.List><RATEDETAILS.LIST><GSTRATE> "), n("p_size % 5"), F.lit(" %</GSTRATE></RATEDETAILS.LIST></GstDetails.List>"))
+    costs = F.concat(F.lit("<StandardCostList.List><DATE>20240229</DATE><RATE>"), n("p_size"), F.lit("/nos</RATE></StandardCostList.List><STANDARDCOSTLIST.LIST><DATE>20240230</DATE></STANDARDCOSTLIST.LIST>"))
+    text = F.concat(F.lit("<a><StockItem><GUID>g"), n("p_partkey"), F.lit("</GUID><name>"), S.xml_escaped(F.col("p_name")), F.lit("</name><GSTRATE>12</GSTRATE><GSTAPPLICABLE>Yes</GSTAPPLICABLE><HSNCODE>own</HSNCODE>"), F.when(F.col("p_partkey") % 3 > 0, detail).otherwise(""), costs, F.lit("</StockItem></a>"))
+    return p.select(F.lit("doc").alias("path"), text.alias("text"))
+
+
+def xml_standard_costs(spark, d):
+    out = masters.standard_rates(_items(spark, d), "COST")
+    return out.select("master_guid", "item_name", F.date_format("effective_date", "yyyy-MM-dd").alias("effective_date"), "rate")
+
+
+def xml_gst_rates(spark, d):
+    return masters.gst_rates(_items(spark, d)).select("master_guid", "item_name", "gst_rate", "hsn_code", "gst_applicable", "supply_type")
+
+
+def xml_opening_bills(spark, d):
+    """Every customer as a ledger with two bills, one of which has a blank reference for every third."""
+    c = table(spark, d, "customer")
+    n = lambda x: F.expr(x).cast("string")
+    bill = lambda ref: F.concat(F.lit("<BillAllocations.List><NAME>"), ref, F.lit("</NAME><BILLTYPE>New Ref</BILLTYPE><OPENINGBALANCE>"), n("cast(c_acctbal as decimal(18,2))"), F.lit("</OPENINGBALANCE></BillAllocations.List>"))
+    text = F.concat(F.lit("<a><LEDGER NAME='"), F.col("c_name"), F.lit("'><MASTERID> "), n("c_custkey"), F.lit("</MASTERID>"), bill(F.concat(F.lit("B-"), n("c_custkey"))), bill(F.when(F.col("c_custkey") % 3 == 0, " ").otherwise("C")), F.lit("</LEDGER></a>"))
+    return masters.opening_bills(c.select(F.lit("doc").alias("path"), text.alias("text"))).select("master_id", "ledger_name", "bill_ref", "bill_type", "opening_amount", "closing_amount")
+
+
 def batch_files(spark, d):
     """Orders as batches of 500, sealed into files: records, the digest's length and whether bytes were written."""
     o = table(spark, d, "orders").withColumn("slice_no", F.floor(F.col("o_orderkey") / 500))
@@ -92,7 +120,7 @@ def voucher_datasets(spark, d):
 
 
 def queries():
-    made = [xml_cost_centres, xml_voucher_types, xml_ledgers, xml_ledgers_off_cycle, named_report, batch_files, voucher_datasets]
+    made = [xml_cost_centres, xml_voucher_types, xml_ledgers, xml_ledgers_off_cycle, named_report, xml_standard_costs, xml_gst_rates, xml_opening_bills, batch_files, voucher_datasets]
     return {f.__name__: f for f in made}
 
 
@@ -108,6 +136,9 @@ def oracle_sql():
         "xml_ledgers": f"SELECT {led} FROM ledgers WHERE {named.format('ledger_name')}",
         "xml_ledgers_off_cycle": f"SELECT {_text_sql('master_guid')}, {_text_sql('ledger_name')}, CAST(NULL AS DOUBLE) AS opening_balance, CAST(NULL AS DOUBLE) AS closing_balance FROM ledgers WHERE {named.format('ledger_name')}",
         "named_report": "SELECT c_custkey, c_name || ' & sons' AS name, CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS DOUBLE) AS amount FROM customer WHERE c_custkey % 5 <> 0",
+        "xml_standard_costs": "SELECT 'g' || p_partkey AS master_guid, p_name AS item_name, d AS effective_date, CASE WHEN d IS NULL THEN 0.0 ELSE CAST(p_size AS DOUBLE) END AS rate FROM part, (VALUES ('2024-02-29'), (NULL)) AS t(d)",
+        "xml_gst_rates": "SELECT 'g' || p_partkey AS master_guid, p_name AS item_name, CAST(CASE WHEN p_partkey % 3 > 0 AND p_size % 5 <> 0 THEN p_size % 5 ELSE 12 END AS DOUBLE) AS gst_rate, CASE WHEN p_partkey % 3 > 0 THEN CAST(p_size AS VARCHAR) ELSE 'own' END AS hsn_code, 'Yes' AS gst_applicable, '' AS supply_type FROM part",
+        "xml_opening_bills": "SELECT c_custkey AS master_id, c_name AS ledger_name, CASE k WHEN 0 THEN 'B-' || c_custkey ELSE 'C' END AS bill_ref, 'New Ref' AS bill_type, CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS DOUBLE) AS opening_amount, CAST(0 AS DOUBLE) AS closing_amount FROM customer, (VALUES (0), (1)) AS t(k) WHERE k = 0 OR c_custkey % 3 <> 0",
         "batch_files": "SELECT o_orderkey // 500 AS slice_no, count(*) AS record_count, count(*) AS read_back, CAST(64 AS BIGINT) AS digits, true AS written FROM orders GROUP BY 1",
         "voucher_datasets": " UNION ALL ".join(f"SELECT '{s}' AS dataset, count(*) AS rows FROM ({v[names.get(s, s)]})" for s in sets),
     }

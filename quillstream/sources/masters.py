@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quillstream import schemas
 from quillstream.functions import scalars as S
+from quillstream.operators import masters as M
 from quillstream.operators import reports
 from quillstream.sources.xml import first
 
@@ -80,6 +81,53 @@ def masters(docs: DataFrame, dataset: str, balances: bool = True) -> DataFrame:
     return schemas.conformed(read if dataset == "companies" else read.filter(F.col(_NAMED[dataset]) != ""), dataset)
 
 
+def _nested(docs: DataFrame, tag: str, scalars: list[str], lists: dict[str, str]) -> DataFrame:
+    """m: an element's scalars (arrays of texts) and lists (arrays of what their schema says)."""
+    fields = ", ".join([f"`{t}`: array<string>" for t in ["GUID", "MASTERID", "ALTERID", "NAME", *scalars]] + [f"`{t}`: array<{k}>" for t, k in lists.items()])
+    return elements(docs, tag).select(F.from_xml("element", f"struct<_NAME: string, {fields}>", {"mode": "PERMISSIVE", "rowTag": "ROW"}).alias("m"))
+
+
+def _identity(name: str) -> list[Column]:
+    of = lambda t: first(F.col("m")[t])
+    return [of("GUID").alias("master_guid"), S.integer(of("MASTERID")).alias("master_id"), S.integer(of("ALTERID")).alias("alter_id"), S.first_text(of("NAME"), F.col("m._NAME")).alias(name)]
+
+
+def _struct(*tags: str) -> str:
+    return "struct<" + ", ".join(f"`{t}`: array<string>" for t in tags) + ">"
+
+
+def opening_bills(docs: DataFrame) -> DataFrame:
+    """The bills that ledgers open with, a row each (see ``operators.masters.opening_bills``)."""
+    rows = _nested(docs, "LEDGER", [], {"BILLALLOCATIONS.LIST": _struct("NAME", "BILLTYPE", "OPENINGBALANCE", "CLOSINGBALANCE")})
+    bill = lambda b: F.struct(first(b["NAME"]).alias("bill_ref"), first(b["BILLTYPE"]).alias("bill_type"), S.number(first(b["OPENINGBALANCE"])).alias("opening_amount"), S.number(first(b["CLOSINGBALANCE"])).alias("closing_amount"))
+    return M.opening_bills(rows.select(*_identity("ledger_name"), F.transform(F.col("m")["BILLALLOCATIONS.LIST"], bill).alias("bills")))
+
+
+def standard_rates(docs: DataFrame, kind: str) -> DataFrame:
+    """The standard costs or prices (``kind`` COST or PRICE) of stock items by day, a row an entry."""
+    tag = f"STANDARD{kind}LIST.LIST"
+    rows = _nested(docs, "STOCKITEM", [], {tag: _struct("DATE", "RATE")})
+    rate = lambda r: F.struct(S.real_day(first(r["DATE"])).alias("effective_date"), S.number(first(r["RATE"])).alias("rate"))
+    return M.standard_rates(rows.select(*_identity("item_name"), F.transform(F.col("m")[tag], rate).alias("rates")), "rates")
+
+
+def gst_rates(docs: DataFrame) -> DataFrame:
+    """The tax of each stock item with a name: from its first list of details, else from the item itself."""
+    own = ["HSNCODE", "GSTRATE", "GSTAPPLICABLE", "GSTTYPEOFSUPPLY", "TAXCLASSIFICATIONNAME"]
+    rate = "array<struct<`GSTRATE`: array<string>>>"
+    detail = _struct("HSNCODE", "HSN", "TAXABILITY", "GSTAPPLICABLE", "GSTTYPEOFSUPPLY", "TAXCLASSIFICATIONNAME")[:-1] + f", `RATEDETAILS.LIST`: {rate}, `RATEDETAILS`: {rate}>"
+    rows = _nested(docs, "STOCKITEM", own, {"GSTDETAILS.LIST": detail, "GSTDETAILS": detail})
+    d, item = F.coalesce(F.try_element_at(F.col("m")["GSTDETAILS.LIST"], F.lit(1)), F.try_element_at(F.col("m")["GSTDETAILS"], F.lit(1))), lambda t: first(F.col("m")[t])
+    of = lambda t: first(d[t])
+    none = F.array().cast(rate)
+    rates = F.transform(F.concat(F.coalesce(d["RATEDETAILS.LIST"], none), F.coalesce(d["RATEDETAILS"], none)), lambda r: S.number(first(r["GSTRATE"])))
+    out = rows.select(
+        *_identity("item_name"), M.first_rate(rates, S.number(item("GSTRATE"))).alias("gst_rate"), S.first_text(of("HSNCODE"), of("HSN"), item("HSNCODE")).alias("hsn_code"),
+        S.first_text(of("TAXABILITY"), of("GSTAPPLICABLE"), item("GSTAPPLICABLE")).alias("gst_applicable"), S.first_text(of("GSTTYPEOFSUPPLY"), item("GSTTYPEOFSUPPLY")).alias("supply_type"), S.first_text(of("TAXCLASSIFICATIONNAME"), item("TAXCLASSIFICATIONNAME")).alias("tax_classification"),
+    )
+    return out.filter("item_name <> ''")
+
+
 # The nodes of a named report that hold a name, and those that hold its amount.
 REPORT_NAMES, REPORT_AMOUNTS = ("DSPDISPNAME", "DSPACCNAME", "BSNAME", "PLNAME"), ("DSPCLDRAMTA", "DSPCLDRA", "DSPCLCRA", "BSMAINAMT", "PLMAINAMT")
 
