@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quillstream.functions.text import plain_or_null
 from quillstream.llm import mixture, residue, tokenizer
 from quillstream.session import spread, stored, table
 
@@ -44,6 +46,14 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture.shares(stored(mixture.mix(sizes, targets), "mix"), sizes, targets)
 
 
+def p8_available(spark: SparkSession, d: str) -> DataFrame:
+    """What each target source has to give: its share, how often a document may come, and its documents with and without text."""
+    targets = mixture.target_table(table(spark, d, "mix_targets"))
+    held = table(spark, d, "documents").groupBy(plain_or_null("source").alias("source")).agg(F.count_if(F.length("text") > 0).alias("documents"), F.count_if(F.coalesce(F.length("text"), F.lit(0)) == 0).alias("empty"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return targets.join(F.broadcast(held.join(targets.select("source"), "source", "left_semi")), "source", "left").select("source", "target_share", "max_repeats", zero("documents"), zero("empty"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue(_documents(spark, d), "doc_id", "text").select("doc_id").distinct()
 
@@ -65,9 +75,14 @@ def p9_kept(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    made = [p7_ids, p7_counts, p7_decoded, p8_mix, p8_shares, p9_found, p9_kinds, p9_templates, p9_kept]
+    made = [p7_ids, p7_counts, p7_decoded, p8_mix, p8_shares, p8_available, p9_found, p9_kinds, p9_templates, p9_kept]
     return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
+    plain = "nullif(lower(trim({}, ' ' || chr(9))), '')"
+    return {
+        "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+        "p8_available": f"""WITH t AS (SELECT {plain.format('source')} AS source, target_share, max_repeats FROM mix_targets)
+  SELECT t.source, target_share, max_repeats, count(doc_id) FILTER (length(text) > 0) AS documents, count(doc_id) FILTER (coalesce(length(text), 0) = 0) AS empty FROM t LEFT JOIN documents d ON {plain.format('d.source')} = t.source GROUP BY ALL""",
+    }

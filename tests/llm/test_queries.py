@@ -1,12 +1,14 @@
 """The registered queries over the smallest tables."""
 
+import pytest
 from conftest import duck, same
 
 from quillstream.llm import queries as Q
 
 
-def test_decoding_gives_the_texts(spark, data):
-    same(Q.p7_decoded(spark, data), duck(data), Q.oracle_sql()["p7_decoded"])
+@pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
+def test_query_equals_sql(spark, data, name):
+    same(Q.queries()[name](spark, data), duck(data), Q.oracle_sql()[name])
 
 
 def test_all_run(spark, data):
